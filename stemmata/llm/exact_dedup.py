@@ -101,3 +101,12 @@ def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
 
     order = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in keys]))
     return df.withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
+
+
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
+g AS (
+  SELECT doc_id, content, first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM g
+"""
