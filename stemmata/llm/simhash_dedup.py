@@ -32,18 +32,22 @@ BUCKET = 32
 BLOCK = 1 << 16
 
 
-def bit_counts(text: bytes, width: int) -> tuple[np.ndarray, int]:
-    """For each of 64 bits the number of shingles that set it, and the number of shingles."""
+def shingle_hashes(text: bytes, width: int) -> list[int]:
+    """XXH64 of all shingles of ``width`` words in order, repeats included; of all words if they are fewer."""
     words = text.lower().split()  # of bytes: lowers A-Z only, splits at \\x20 and \\x09-\\x0D
     flat = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(flat, 42)] if words else []
-    else:
-        gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-        starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
-        ends = [*gaps[width - 1 :].tolist(), len(flat)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(flat[a:b], 42) for a, b in zip(starts, ends, strict=True)]
+        return [xxhash.xxh64_intdigest(flat, 42)] if words else []
+    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+    starts = [0, *(gaps[: len(words) - width] + 1).tolist()]
+    ends = [*gaps[width - 1 :].tolist(), len(flat)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(flat[a:b], 42) for a, b in zip(starts, ends, strict=True)]
+
+
+def bit_counts(text: bytes, width: int) -> tuple[np.ndarray, int]:
+    """For each of 64 bits the number of shingles that set it, and the number of shingles."""
+    hashes = shingle_hashes(text, width)
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), BLOCK):
         block = np.array(hashes[k : k + BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
