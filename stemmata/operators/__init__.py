@@ -1 +1 @@
-
+"""Relational operators over versions, citations, paragraphs, rankings and labels."""
