@@ -170,10 +170,13 @@ FACTS, LAW = "(?i)^THE FACTS$", "(?i)^THE LAW$"
 OPERATIVE = "(?i)^(FOR THESE REASONS|OPERATIVE PROVISIONS)"
 
 
-def _next_line(lines: Column, pattern: str, after: Column) -> Column:
-    """Number (from 0) of the first line after line ``after`` that matches when trimmed, or null."""
-    at = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i > after) & F.trim(F.get(lines, i)).rlike(pattern))
-    return F.when(F.size(lines) > 0, F.get(at, F.lit(0)))
+def _marks(lines: Column, pattern: str) -> Column:
+    """Numbers (from 0) of the lines that match when trimmed."""
+    return F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x).rlike(pattern), i)), lambda i: i.isNotNull())
+
+
+def _next(marks: Column, after: Column) -> Column:
+    return F.get(F.filter(marks, lambda i: i > after), F.lit(0))
 
 
 def _lines(c: ColumnOrName) -> Column:
@@ -188,9 +191,9 @@ def _between(lines: Column, start: Column, stop: Column) -> Column:
 def judgment_sections(c: ColumnOrName) -> Column:
     """Struct of full_text, facts, law, operative and two halves by lines; each section follows the one before it."""
     lines = _lines(c)
-    facts = _next_line(lines, FACTS, F.lit(-1))
-    law = F.when(facts.isNotNull(), _next_line(lines, LAW, facts))
-    operative = F.when(law.isNotNull(), _next_line(lines, OPERATIVE, law))
+    facts = F.get(_marks(lines, FACTS), F.lit(0))
+    law = _next(_marks(lines, LAW), facts)
+    operative = _next(_marks(lines, OPERATIVE), law)
     half = F.floor(F.size(lines) / 2).cast("int")
     return F.struct(
         F.coalesce(col(c), F.lit("")).alias("full_text"),
@@ -210,7 +213,7 @@ def law_section(c: ColumnOrName, preset: str = "retrieval") -> Column:
     """The law part of a judgment, up to its operative part."""
     cap, fallback = PRESETS[preset]
     lines = _lines(c)
-    law = _next_line(lines, LAW, F.lit(-1))
-    operative = F.when(law.isNotNull(), _next_line(lines, OPERATIVE, law))
+    law = F.get(_marks(lines, LAW), F.lit(0))
+    operative = _next(_marks(lines, OPERATIVE), law)
     found = _between(lines, law, F.coalesce(operative, F.least(law + cap, F.size(lines))))
     return F.when(law.isNull(), F.substring(F.coalesce(col(c), F.lit("")), 1, fallback)).otherwise(found)

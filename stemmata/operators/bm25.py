@@ -44,9 +44,10 @@ def index(docs: DataFrame, *, k1: float = K1, b: float = B, epsilon: float = EPS
 
 
 def query_terms(queries: DataFrame, *, distinct: bool = False) -> DataFrame:
-    """``queries``: query, corpus, text. One row per distinct term with its multiplicity ``qtf`` (1 if ``distinct``)."""
+    """``queries``: query, corpus (if each asks one), text. One row per distinct term with its multiplicity ``qtf`` (1 if ``distinct``)."""
     words = distinct_tokens("text") if distinct else tokens("text")
-    return queries.select("query", "corpus", F.explode(words).alias("term")).groupBy("query", "corpus", "term").agg(F.count("*").alias("qtf"))
+    keys = [c for c in ("query", "corpus") if c in queries.columns]
+    return queries.select(*keys, F.explode(words).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("qtf"))
 
 
 def leading_terms(queries: DataFrame, index: Index, fallback: int = 50) -> DataFrame:
@@ -58,10 +59,12 @@ def leading_terms(queries: DataFrame, index: Index, fallback: int = 50) -> DataF
 
 
 def scores(terms: DataFrame, index: Index, *, zeros: bool = True, places: int | None = 9) -> DataFrame:
-    """(query, corpus, doc, score) of each query over its corpus. With ``zeros``, documents without any term too.
+    """(query, corpus, doc, score) of each query over its corpus (over every corpus if ``terms`` has no such column).
+    With ``zeros``, documents without any term too.
     Scores are rounded to ``places`` so that the order in which terms are summed decides no rank."""
     total = F.sum(F.col("qtf") * F.col("weight"))
-    hits = terms.join(index.weights, ["corpus", "term"]).groupBy("query", "corpus", "doc").agg((total if places is None else F.round(total, places)).alias("score"))
+    on = [c for c in ("corpus", "term") if c in terms.columns]
+    hits = terms.join(index.weights, on).groupBy("query", "corpus", "doc").agg((total if places is None else F.round(total, places)).alias("score"))
     if not zeros:
         return hits
     asked = terms.select("query", "corpus").distinct()
@@ -89,3 +92,17 @@ def section_documents(paragraphs: DataFrame, text: Column, *, titled: bool = Fal
     whole = F.col("body") if titled else F.concat_ws(" ", "doc", "title", "body")
     order = Window.partitionBy("corpus").orderBy("first", "doc")
     return grouped.select("corpus", "doc", (F.row_number().over(order) - 1).alias("idx"), "title", whole.alias("text"))
+
+
+def containing(docs: DataFrame, passages: DataFrame, *, folded: bool = False) -> DataFrame:
+    """(query, corpus, doc) where a document contains a passage, upper and lower case alike if ``folded``. A passage's
+    inner tokens must be tokens of the document; the rarest of them is the equality that carries the join, so that no
+    document is compared with a passage that it shares nothing rare with. Passages need three tokens."""
+    terms = docs.select("corpus", "doc", F.explode(distinct_tokens("text")).alias("term"))
+    rarity = terms.groupBy("term").agg(F.count("*").alias("df"))
+    w = tokens("text")
+    inner = passages.select("query", F.col("text").alias("passage"), F.explode(F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))).alias("term"))
+    rare = inner.join(rarity, "term").groupBy("query").agg(F.min_by(F.struct("passage", "term"), F.struct("df", "term")).alias("r"))
+    hits = rare.select("query", "r.passage", "r.term").join(terms, "term").join(docs.select("corpus", "doc", "text"), ["corpus", "doc"])
+    plain = lambda c: F.lower(c) if folded else F.col(c)
+    return hits.where(F.contains(plain("text"), plain("passage"))).select("query", "corpus", "doc")

@@ -106,6 +106,20 @@ def extracted(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     )
 
 
+def as_of(blocks: DataFrame, anchors: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """Each block with the ``value`` of the latest anchor at or before it (``order``: columns of both), the first
+    anchor's before any; null in groups without anchors. One window over both sides, no join of every pair."""
+    keys = [*group, *order]
+    both = blocks.withColumn("_a", F.lit(None).cast("int")).unionByName(
+        anchors.select(*keys, F.col(value).alias("_value")).withColumn("_a", F.lit(0)), allowMissingColumns=True
+    )
+    at = Window.partitionBy(*group).orderBy(*order, F.col("_a").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*group).orderBy(*order, F.col("_a").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first("_value", ignorenulls=True).over(whole)
+    placed = both.withColumn(value, F.coalesce(F.last("_value", ignorenulls=True).over(at), first))
+    return placed.where("_a is null").drop("_a", "_value")
+
+
 def described(paragraphs: DataFrame) -> DataFrame:
     """Adds norm_text and char_hash."""
     return paragraphs.withColumns({"norm_text": match_form("text"), "char_hash": text_hash("text")})

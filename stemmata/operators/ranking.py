@@ -32,19 +32,19 @@ def hits(rows: DataFrame, group: list[str], gold: Column, cuts: tuple[int, ...]
     return found.withColumns(at | {"rr": F.coalesce(1 / F.col("_first"), F.lit(0.0))}).drop("_first")
 
 
-def boosted(scored: DataFrame, *features: str, tie: str = "doc") -> DataFrame:
+def boosted(scored: DataFrame, *features: str, group: tuple[str, ...] = ("query", "corpus"), tie: str = "doc", top: int | None = None) -> DataFrame:
     """Lexicographic ranking: features descending, then score, then ``tie``."""
-    return ranked(scored, ["query", "corpus"], *[F.desc(f) for f in features], F.desc("score"), F.asc(tie))
+    return ranked(scored, list(group), *[F.desc(f) for f in features], F.desc("score"), F.asc(tie), top=top)
 
 
-def within(scored: DataFrame, groups: DataFrame, *, on: list[str], keep: int | None = None, group_rank: str = "group_rank", tie: str = "doc") -> DataFrame:
+def within(scored: DataFrame, groups: DataFrame, *, on: list[str], keep: int | None = None, group_rank: str = "group_rank", group: tuple[str, ...] = ("query", "corpus"), tie: str = "doc", top: int | None = None) -> DataFrame:
     """Ranking by the rank of a row's group, then score. With ``keep`` only the leading groups stay (two-stage ranking);
     without, rows of unranked groups come last."""
     if keep is not None:
         joined = scored.join(groups.where(F.col(group_rank) <= keep), on)
     else:
         joined = scored.join(groups, on, "left")
-    return ranked(joined, ["query", "corpus"], F.col(group_rank).asc_nulls_last(), F.desc("score"), F.asc(tie))
+    return ranked(joined, list(group), F.col(group_rank).asc_nulls_last(), F.desc("score"), F.asc(tie), top=top)
 
 
 def only(scored: DataFrame, gold: DataFrame, on: list[str], tie: str = "doc") -> DataFrame:
