@@ -70,10 +70,12 @@ def highlighted(text: ColumnOrName, terms: ColumnOrName) -> Column:
     def one(t: str | None, ts) -> str | None:
         if t is None:
             return None
-        out = escape(t)
-        for term in sorted((x for x in ts if x and x.strip()) if ts is not None else [], key=len, reverse=True):
-            out = re.sub(re.escape(escape(term)), lambda m: f"<mark>{m[0]}</mark>", out, flags=re.IGNORECASE)
-        return out
+        wanted = sorted({escape(x) for x in ts if x and x.strip()} if ts is not None else (), key=len, reverse=True)
+        if not wanted:
+            return escape(t)
+        # One pass, so that a term is never looked for in the marks or entities of another.
+        pattern = "|".join([f"(?P<term>{'|'.join(map(re.escape, wanted))})", r"&(?:amp|lt|gt|quot|#x27);"])
+        return re.sub(pattern, lambda m: f"<mark>{m[0]}</mark>" if m["term"] else m[0], escape(t), flags=re.IGNORECASE)
 
     def of(t: pd.Series, ts: pd.Series) -> pd.Series:
         return pd.Series([one(a, b) for a, b in zip(t, ts, strict=True)], dtype="object")

@@ -20,7 +20,7 @@ def col(c: ColumnOrName) -> Column:
 def _mapped(f) -> object:
     def of(values: pd.Series) -> pd.Series:
         seen: dict = {None: None}
-        return values.map(lambda v: seen[v] if v in seen else seen.setdefault(v, f(v)))
+        return pd.Series([seen[v] if v in seen else seen.setdefault(v, f(v)) for v in values], dtype="object")
 
     return F.pandas_udf(of, StringType())
 

@@ -148,7 +148,8 @@ def cited_lists(lines: DataFrame) -> DataFrame:
                 entries.append(row.text)
             elif entries:
                 entries[-1] = f"{entries[-1]} {row.text}"
-        return pd.DataFrame({"doc": [frame["doc"].iloc[0]] * len(entries), "pos": range(len(entries)), "raw": entries})
+        out = pd.DataFrame({"doc": [frame["doc"].iloc[0]] * len(entries), "pos": range(len(entries)), "raw": entries})
+        return out.astype({"doc": "object", "raw": "object"})
 
     folded_rows = list_lines(lines).withColumn("doc", F.col("doc").cast("string")).groupBy("doc").applyInPandas(fold, "doc string, pos long, raw string")
     return folded_rows.select("doc", "pos", folded("raw").alias("citation"))

@@ -562,7 +562,7 @@ def paragraph_diff(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cited_list_fold(spark: SparkSession, sf: str) -> DataFrame:
     """Citations wrapped over lines, put together again."""
-    rows = _cited(spark, sf).where("n_name = 'NATION_0'").withColumn("piece", F.split("citation", r"(?<= v\.) "))
+    rows = _cited(spark, sf).where("n_name = 'NATION_0'").withColumn("piece", F.split("citation", r"(?<=,) "))
     numbered = rows.select(F.lit("list").alias("doc"), "o_orderkey", F.posexplode("piece").alias("k", "text"))
     lines = numbered.select("doc", (F.col("o_orderkey") * 10 + F.col("k") + 10).alias("line_no"), "text")
     head = spark.createDataFrame([("list", -2, versions.LIST_HEADER), ("list", -1, "— A —")], "doc string, line_no long, text string")
