@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HOT_SHARE, lookup, materialise, text_or_empty
@@ -87,20 +87,18 @@ def exact_groups(docs: DataFrame, *, digest_chars: int = 64, salts: int = 32) ->
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).groupBy("_id", "_sha").count()
-    sha = F.sha2(without_spaces(text_or_empty()), 256)
-    joined = docs.withColumn("_own", sha).join(
-        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
+    kept = exact_groups(docs, **options).where("kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.sha2(without_spaces(text_or_empty()), 256).alias("own_sha")
     )
-    return one_of_each(joined, ["_id", "_own"]).select(*docs.columns)
-
+    joined = rows.join(kept, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_sha") == F.col("sha")))
+    return one_of_each(joined, ["own_id", "own_sha"]).select("row.*")
 
-def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each value of ``keys``, the first by the columns' hash."""
-    from pyspark.sql import Window
 
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in keys]))
-    return df.withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One of the rows (``row``: a struct) for each value of ``keys``, the first by its hash."""
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("row"))
+    return rows.withColumn("number", F.row_number().over(order)).where("number = 1")
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, lookup, materialise, running_start, text_or_empty
+from .common import BUCKET_ROWS, bucket_count, lookup, materialise, running_start, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
@@ -125,10 +125,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, to the nearest whole copy; ids that repeat take the most."""
-    copies = mix(docs)[0].where("taken > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    copies = copies.groupBy("_id").agg(F.max("_n").alias("_n")).where("_n > 0")
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    copies = mix(docs)[0].where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    copies = copies.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    joined = rows.join(copies, F.col("own_id").eqNullSafe(F.col("doc_id")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = f"""
@@ -154,7 +155,7 @@ mixed AS (
 times AS (SELECT rank, block, count(*) AS times FROM mixed GROUP BY rank, block),
 streamed AS (
   SELECT doc_id, size, rank, words, target, sum(size) OVER (PARTITION BY rank ORDER BY ((doc_id % {PRIME}) * 48271 + 11) % {PRIME} % nb, doc_id, size)::BIGINT - size AS first
-  FROM sized JOIN planned ON sized.source IS NOT DISTINCT FROM planned.source, (SELECT greatest(1, ceil(count(*) / 4096))::BIGINT AS nb FROM documents)),
+  FROM sized JOIN planned ON sized.source IS NOT DISTINCT FROM planned.source, (SELECT greatest(1, ceil(count(*) / {BUCKET_ROWS}))::BIGINT AS nb FROM documents)),
 spans AS (
   SELECT *, unnest(range(first // {BLOCK_WORDS}, CASE WHEN size > 0 THEN (first + size - 1) // {BLOCK_WORDS} + 1 ELSE first // {BLOCK_WORDS} END)) AS block FROM streamed),
 sums AS (
