@@ -29,6 +29,8 @@ STEP = np.array([[0, 1, 2, 6], [1, 0, 1, 2], [2, 1, 0, 1], [6, 2, 1, 0]], np.flo
 BLOCK = 1 << 20
 MAX_RANGES = 20_000
 RANGE_ROWS = 2048
+#: Stands for a null id when ranges are dealt.
+NO_ID = int(np.iinfo(np.int64).min)
 
 
 def counts(data: bytes) -> np.ndarray:
@@ -102,17 +104,25 @@ def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         return spark.createDataFrame([], OUT)
     wanted = min(MAX_RANGES, max(1, n // range_rows))
     cuts = ids.where("doc_id is not null").stat.approxQuantile("doc_id", [k / wanted for k in range(wanted)], 0.2 / wanted) if least else []
-    bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64)
-    if least < n or not len(bounds):  # nulls come first: a range of their own
-        bounds = np.concatenate([[np.iinfo(np.int64).min], bounds])
+    # Quantiles are doubles, which large ids don't survive: the ranges' smallest ids are the exact bounds.
+    rough = np.unique(np.array(cuts, np.float64))
+    nearest = np.clip(rough, -(2.0**63), np.nextafter(2.0**63, 0)).astype(np.int64)
+    marked = ids.where("doc_id is not null").mapInPandas(_ranged(nearest), "doc_id long, range long, first boolean")
+    found = marked.groupBy("range").agg(F.min("doc_id").alias("least")).collect()  # MAX_RANGES rows at most
+    bounds = np.array(sorted([r.least for r in found] + ([NO_ID] if least < n else [])), np.int64)  # nulls come first
+    return _dealt(rows, _ranged(bounds), len(bounds))
+
+
+def _ranged(bounds: np.ndarray):
+    """Adds to rows with doc_id the range that they fall in, and whether they begin it."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = batch["doc_id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
+            at = batch["doc_id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64)
             k = np.maximum(np.searchsorted(bounds, at, side="right") - 1, 0)
             yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), range=k, first=at == bounds[k])
 
-    return _dealt(rows, deal, len(bounds))
+    return deal
 
 
 def _dealt(rows: DataFrame, deal, ranges: int) -> DataFrame:

@@ -104,6 +104,8 @@ def test_digests_wrap_around(spark, none):
     df = spark.createDataFrame([(5, "abcdefgh"), (3, "12345678")], "doc_id long, text string")
     got = {r.doc_id: r.edited_sha256 for r in quartile_digest.fingerprints(df, 1).collect()}
     assert got == {3: hashlib.sha256(b"123456ab").hexdigest(), 5: hashlib.sha256(b"abcdef12").hexdigest()}
+    large = spark.createDataFrame([(2**60 + k, "abcdefgh"[k:] * 3) for k in range(7)], "doc_id long, text string")
+    assert quartile_digest.fingerprints(large, 1).count() == 7
     alone = quartile_digest.fingerprints(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).collect()
     assert [r.edited_sha256 for r in alone] == [hashlib.sha256(b"abcdefab").hexdigest()]
     assert quartile_digest.fingerprints(none).count() == 0
