@@ -49,7 +49,8 @@ def exact_groups(docs: DataFrame, *, digest_chars: int = 64, salts: int = 32) ->
     )
     total = narrow.count()
     by_digest = narrow.groupBy("digest").agg(F.count("*").alias("rows"), F.max_by("row_key", "rank").alias("keep_key"))
-    hot = materialise(by_digest.where((F.col("rows") > 1) & (F.col("rows") * HOT_SHARE >= total)).select("digest"), "hot")
+    is_hot = (F.col("rows") > 1) & (F.col("rows") * HOT_SHARE >= total)
+    hot = materialise(by_digest.where(is_hot).select("digest").repartition(1), "hot")  # HOT_SHARE rows at most: one file
 
     whole = rows.withColumn("rank", _rank(F.col("n"), F.col("doc_id")))
     best = [F.max_by("doc_id", "rank").alias("keep_id"), F.max("rank").alias("rank"), F.count("*").alias("group_size")]
@@ -64,10 +65,10 @@ def exact_groups(docs: DataFrame, *, digest_chars: int = 64, salts: int = 32) ->
         F.max_by("keep_id", "rank").alias("keep_id"), F.max("rank").alias("rank"), F.sum("group_size").alias("group_size")
     )
     winners = materialise(cold.unionByName(combined).select("digest", "keep_id", "group_size"), "winners")
-    contents = winners.groupBy("digest").agg(F.count("*").alias("contents"))
-    collided = materialise(contents.where("contents > 1").select("digest"), "collided")
+    contents = winners.groupBy("digest").agg(F.count("*").alias("contents")).where("contents > 1")
     out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
-    clash = not collided.isEmpty()
+    clash = not contents.isEmpty()
+    collided = materialise(contents.select("digest"), "collided") if clash else None
     plain = winners.join(collided, "digest", "left_anti") if clash else winners
     single = plain.join(by_digest.select("digest", "keep_key"), "digest").withColumnRenamed("group_size", "size")
     found = (
