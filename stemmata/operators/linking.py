@@ -157,7 +157,7 @@ def reference_parts(value: Column) -> Column:
     """(section_path, para_num_a, para_num_b) structs of ``path|a:1|b:2`` references joined by ``|``; None and empty
     numbers are null, so that references compare null-safely."""
     found = F.regexp_extract_all(value, F.lit(r"([^|]*)\|a:(?:\d+|None)?\|b:(?:\d+|None)?"), F.lit(0))
-    piece = lambda x, p: F.expr("null") if x is None else F.nullif(F.regexp_extract(x, p, 1), F.lit("")).cast("int")
+    piece = lambda x, p: F.nullif(F.regexp_extract(x, p, 1), F.lit("")).cast("int")
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^([^|]*)\|a:", 1).alias("section_path"), piece(x, r"\|a:(\d+)").alias("para_num_a"), piece(x, r"\|b:(\d+)$").alias("para_num_b")))
 
 

@@ -261,13 +261,13 @@ def diff_documents(changed: DataFrame, events: DataFrame, citations: DataFrame,
     sections = events.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(*event_cols))).alias("section_events"))
     side = lambda s: F.array_sort(F.collect_list(F.when(F.col("change") == s, F.col("citation")))).alias(s)
     cited = citations.groupBy("pair").agg(F.struct(side("added"), side("removed")).alias("cited_cases_diff"))
-    summary = transition_summary(changed, ["pair"])
+    counts = transition_summary(changed, ["pair"]).withColumnRenamed("paragraph_changes", "_counts")
     days = F.date_diff(F.col("version_b").cast("date"), F.col("version_a").cast("date"))
-    return (
-        transitions.join(summary, "pair", "left").join(paras, "pair", "left").join(sections, "pair", "left").join(cited, "pair", "left")
-        .select("pair", "guide_title", "version_a", "version_b", days.alias("delta_days"),
-                F.struct("total_para_changes", F.col("summary_changes") if "summary_changes" in summary.columns else summary["paragraph_changes"].alias("paragraph_changes"),
-                         F.size(F.coalesce(F.col("cited_cases_diff.added"), F.array())).alias("cited_cases_added"),
-                         F.size(F.coalesce(F.col("cited_cases_diff.removed"), F.array())).alias("cited_cases_removed")).alias("summary"),
-                "section_events", paras["paragraph_changes"], "cited_cases_diff")
+    size = lambda c: F.size(F.coalesce(c, F.array())).alias(f"cited_cases_{c.rpartition('.')[2]}")
+    summary = F.struct("total_para_changes", F.col("_counts").alias("paragraph_changes"), size("cited_cases_diff.added"), size("cited_cases_diff.removed"))
+    joined = transitions
+    for part in (counts, paras, sections, cited):
+        joined = joined.join(part, "pair", "left")
+    return joined.select(
+        "pair", "guide_title", "version_a", "version_b", days.alias("delta_days"), summary.alias("summary"), "section_events", "paragraph_changes", "cited_cases_diff"
     )
