@@ -65,8 +65,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
     """The headers and the block of the record at ``at``, and where the next begins."""
-    raw = bytes(data[at : at + 65536])
-    end = raw.index(b"\r\n\r\n")
+    size = 4096
+    while (end := (raw := bytes(data[at : at + size])).find(b"\r\n\r\n")) < 0:  # addresses may be long
+        if size > len(data):
+            raise ValueError("a record without end of headers")
+        size *= 4
     lines = raw[:end].decode().split("\r\n")
     headers = dict(x.split(": ", 1) for x in lines[1:])
     start = at + end + 4

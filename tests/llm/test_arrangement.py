@@ -132,7 +132,7 @@ def test_shards_keep_groups_together(spark):
 
 def test_warc_round_trip(spark):
     html = "<p>" + "x" * 700_000 + "</p>"
-    data = [(1, "http://a", "same"), (2, "http://b\r\nEvil: 1", "same"), (3, None, "same"), (4, "http://c", None), (5, "u", ""), (6, "u", html), (7, "u", "é"), (None, "u", "lost"), (9, "u", "one"), (9, "u", "one")]
+    data = [(1, "http://a", "same"), (2, "http://b\r\nEvil: 1", "same"), (3, None, "same"), (4, "http://c", None), (5, "u", ""), (6, "u", html), (7, "u", "é"), (None, "u", "lost"), (9, "u", "one"), (9, "http://" + "x" * 100_000, "one")]
     pages = spark.createDataFrame([(*r, "x") for r in data], "page_id long, url string, html string, key string")
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
     best = defaultdict(lambda: None)
