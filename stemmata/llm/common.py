@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A key with at least a 1/HOT_SHARE share of all rows is hot; by counting there are at most HOT_SHARE such keys.
 HOT_SHARE = 1000
 #: Expected rows in one bucket of a two-level ordering.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -23,7 +23,7 @@ from .common import HOT_SHARE, bucket_count, lookup, materialise, running_start,
 SHARDS = 40
 ROUNDS = 6
 #: Rows that a shard may hold beyond an even share while labels propagate.
-SLACK = 0.1
+SLACK = 0.3
 ROW_BYTES = 16
 
 
