@@ -135,5 +135,6 @@ def _dealt(rows: DataFrame, deal, ranges: int) -> DataFrame:
     )
     sent = dealt.select("doc_id", "text", "text_hash", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("to"))
     sent = sent.select("to.range", "to.peek", "doc_id", "text", "text_hash")
-    ordered = sent.repartition("range").sortWithinPartitions("range", "peek", "doc_id", "text_hash")
+    # As many tasks as ranges, so that a task stays as small as it is however large the table.
+    ordered = sent.repartition(max(1, ranges), "range").sortWithinPartitions("range", "peek", "doc_id", "text_hash")
     return ordered.select("range", "peek", "doc_id", "text").mapInPandas(_walk, OUT)
