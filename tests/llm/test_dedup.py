@@ -161,3 +161,31 @@ def test_one_of_each_class(odd, none):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 1 in ids and not {2, 3} & set(ids)
     assert simhash_near.one_of_each_class(none).count() == 0
+
+
+def banded(spread, per_value=12, shingles=400):
+    """Pairs of texts whose similarity is as in ``spread``, of about so many shingles: a changed end changes as many."""
+    draw = random.Random(23)
+    word = lambda: "".join(draw.choice("abcdefghijkl") for _ in range(6))
+    docs, pairs = [], []
+    for j in spread:
+        for _ in range(per_value):
+            text = [word() for _ in range(shingles + 4)]
+            changed = round(shingles * (1 - j) / (1 + j))
+            other = text[: len(text) - changed] + [word() for _ in range(changed)]
+            docs += [(2 * len(pairs), " ".join(text)), (2 * len(pairs) + 1, " ".join(other))]
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+    return docs, pairs
+
+
+def components_of(spark, docs):
+    found = simhash_near.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    return {r.doc_id: r.component_id for r in found}
+
+
+def test_near_candidates_are_complete(spark):
+    """Every pair of similarity 0.8 or more comes together, however many texts there are."""
+    docs, pairs = banded((0.8025, 0.81, 0.82, 0.85, 0.9), 40)
+    text, of = dict(docs), components_of(spark, docs)
+    assert all(similarity(text[a], text[b]) >= 0.8 for a, b in pairs)
+    assert all(of[a] == of[b] for a, b in pairs)
