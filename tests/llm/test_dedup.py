@@ -189,3 +189,12 @@ def test_near_candidates_are_complete(spark):
     text, of = dict(docs), components_of(spark, docs)
     assert all(similarity(text[a], text[b]) >= 0.8 for a, b in pairs)
     assert all(of[a] == of[b] for a, b in pairs)
+
+
+def test_near_links_at_the_edge(spark):
+    """Full sets decide: from 0.8 on all pairs link, below none, also where a sketch can't tell."""
+    docs, pairs = banded((0.78, 0.785, 0.79, 0.795, 0.805, 0.81, 0.82))
+    text, of = dict(docs), components_of(spark, docs)
+    alike = [similarity(text[a], text[b]) >= 0.8 for a, b in pairs]
+    assert 30 < sum(alike) < len(alike) - 40
+    assert [of[a] == of[b] for a, b in pairs] == alike
