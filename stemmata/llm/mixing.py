@@ -27,6 +27,12 @@ SHARD_SLOTS = 4096
 MAX_REPEATS = 3
 ROUNDS = 16
 PRIME = 2147483647
+#: A whole copy in the fixed-point numbers of ``mixed_documents``.
+WHOLE = 1 << 30
+
+
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-"))
 
 
 def scramble(x: Column) -> Column:
@@ -85,15 +91,17 @@ def mix_slots(plan: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Two tables: one row per row of ``docs`` (doc_id, size, source_size, target, taken), and the slots of the mix."""
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, *, by_row: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two tables: one row per row of ``docs`` (doc_id, size, source_size, target, taken), and the slots of the mix.
+    ``by_row`` adds row_key, source_key and text_hash to the first."""
     sized = materialise(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
             F.monotonically_increasing_id().alias("row_key"),
-        ).withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))),
+            *([F.xxhash64(text_or_empty()).alias("text_hash")] if by_row else []),
+        ).withColumn("source_key", source_key()),
         "sizes",
     )
     rows = sized.count()
@@ -113,23 +121,36 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
     last = F.floor((end - 1) / block_words)
     spans = streamed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block_words), last))))
     spans = spans.withColumn("part", F.least(end, at + block_words) - F.greatest(F.col("first"), at))
+    more = ["source_key", "text_hash"] if by_row else []
     times = filled.groupBy("rank", "block").agg(F.count("*").alias("times"))
     taken = (
         spans.join(times, ["rank", "block"], "left")
-        .groupBy("row_key", "doc_id", "size", F.col("words").alias("source_size"), "target")
+        .groupBy("row_key", "doc_id", "size", *more, F.col("words").alias("source_size"), "target")
         .agg(F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).alias("taken"))
-        .drop("row_key")
     )
-    return taken, filled
+    return taken if by_row else taken.drop("row_key"), filled
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, to the nearest whole copy; ids that repeat take the most."""
-    copies = mix(docs)[0].where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    copies = copies.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"))
-    joined = rows.join(copies, F.col("own_id").eqNullSafe(F.col("doc_id")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """The rows of ``docs`` in whole copies, taken / size of each on average: the whole part, and one more for a
+    pseudorandom part of the rows. Which ones is a systematic draw along each source's rows by size, so that not only
+    each row's expectation is right but also the source's words, to about a document. Rows that repeat id, source and
+    text share their copies."""
+    taken = materialise(mix(docs, by_row=True)[0].where("size > 0"), "taken")
+    part = F.expr(f"(taken % size) * {WHOLE}L div size")
+    placed = taken.withColumn("class", F.floor(F.log2("size") * 4)).withColumn("slice", scramble(F.col("row_key")) % bucket_count(taken.count(), 16 * BUCKET_ROWS))
+    placed = running_start(placed.withColumn("part", part), ["source_key"], ["class", "slice"], ["size", "row_key"], F.col("part"), "before")
+    placed = placed.withColumn("before", F.col("before") + F.pmod(F.xxhash64("source_key"), F.lit(WHOLE)))
+    copies = F.expr(f"taken div size + (before + part) div {WHOLE}L - before div {WHOLE}L")
+    key = ["doc_id", "source_key", "text_hash"]
+    shares = placed.groupBy(*key).agg(F.sum(copies).alias("copies"), F.count("*").alias("sharers")).where("copies > 0")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), source_key().alias("own_source"), F.xxhash64(text_or_empty()).alias("own_hash")
+    )
+    joined = rows.join(shares, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_source") == F.col("source_key")) & (F.col("own_hash") == F.col("text_hash")))
+    number = F.row_number().over(Window.partitionBy("own_id", "own_source", "own_hash").orderBy(F.xxhash64("row")))
+    dealt = joined.withColumn("number", number).withColumn("times", F.expr("copies div sharers + if(number <= copies % sharers, 1, 0)"))
+    return dealt.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 ORACLE = f"""

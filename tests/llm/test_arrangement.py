@@ -181,3 +181,16 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, "/root/testdata/sf0.001").count()
         assert stage(spark, none, "/root/testdata/sf0.001").count() == 0
+
+
+def test_mixed_documents_meet_the_targets(spark):
+    """A third of the rows is moved to one source, which then gives a small share of its words."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source")))
+    size = F.regexp_count("text", F.lit(mixing.WORD))
+    want = {r.source: r for r in mixing.mix(docs)[0].join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.max("target").alias("target"), F.max("size").alias("most")).collect()}
+    got = {r.source: r.words for r in mixing.mixed_documents(docs).groupBy("source").agg(F.sum(size).alias("words")).collect()}
+    assert all(abs(got.get(s, 0) - r.target) <= 2 * r.most for s, r in want.items())
+    assert abs(got["src0"] / want["src0"].target - 1) < 0.1
