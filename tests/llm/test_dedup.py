@@ -198,3 +198,12 @@ def test_near_links_at_the_edge(spark):
     alike = [similarity(text[a], text[b]) >= 0.8 for a, b in pairs]
     assert 30 < sum(alike) < len(alike) - 40
     assert [of[a] == of[b] for a, b in pairs] == alike
+
+
+def test_near_duplicates_are_of_sets(spark):
+    """Repeats of a passage neither part texts of one set nor bring together texts of two."""
+    draw = random.Random(4)
+    words = lambda n: " ".join("".join(draw.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    line, long = words(25), words(300)
+    docs = [(0, f"{line} {line} {long}"), (1, f"{line} " * 30 + long), (2, f"{line} " * 100 + words(90)), (3, f"{line} " * 100 + words(90))]
+    assert components_of(spark, docs) == {0: 0, 1: 0, 2: 2, 3: 3}
