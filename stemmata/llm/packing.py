@@ -13,9 +13,10 @@ that breaks a limit by itself gets a sequence of its own. An empty table gives n
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -32,13 +33,15 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 @lru_cache(maxsize=4)
 def encoding(ranks_path: str):
-    """The byte-pair encoding of a file of ranks; special tokens' strings are ordinary text."""
+    """The byte-pair encoding of a file of ranks, with the added tokens of the tokenizer file beside it."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(ranks_path.removesuffix(".tiktoken") + ".json", "rb") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -46,7 +49,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, end
     doc_tokens (with the closing id)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoding(ranks_path).encode_ordinary
+        encode = partial(encoding(ranks_path).encode, allowed_special="all")  # added tokens in texts count as such, as in the tokenizer
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -194,3 +194,15 @@ def test_mixed_documents_meet_the_targets(spark):
     got = {r.source: r.words for r in mixing.mixed_documents(docs).groupBy("source").agg(F.sum(size).alias("words")).collect()}
     assert all(abs(got.get(s, 0) - r.target) <= 2 * r.most for s, r in want.items())
     assert abs(got["src0"] / want["src0"].target - 1) < 0.1
+
+
+def test_packing_knows_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n y", "<|endoftext"]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.packed_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks_path()).collect()}
+    for k, t in enumerate(texts):
+        ids = np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
