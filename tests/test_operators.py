@@ -231,3 +231,11 @@ def test_mentions(spark):
     assert sorted(r.page for r in found.collect()) == [1, 2]
     assert mentions.summaries(found, ["citation"]).first().summary == "2 body mention(s) found on page(s): 1, 2"
     assert mentions.marked(found).where("html like '%<mark>A v. Malta</mark>%'").count() == 2
+
+
+def test_cited_list_of_every_nation(spark):
+    from stemmata.plans.queries import QUERIES, _cited
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.doc, r.n) for r in QUERIES["cited_list_fold"](spark, sf).groupBy("doc").agg(F.count("*").alias("n")).collect()}
+    assert got == {(r.n_name, r.n) for r in _cited(spark, sf).groupBy("n_name").agg(F.count("*").alias("n")).collect()}
