@@ -207,3 +207,10 @@ def test_near_duplicates_are_of_sets(spark):
     line, long = words(25), words(300)
     docs = [(0, f"{line} {line} {long}"), (1, f"{line} " * 30 + long), (2, f"{line} " * 100 + words(90)), (3, f"{line} " * 100 + words(90))]
     assert components_of(spark, docs) == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_ids_that_repeat_part_no_classes(spark):
+    draw = random.Random(6)
+    texts = [" ".join(str(draw.random()) for _ in range(30)) for _ in range(6)]
+    docs = spark.createDataFrame([*zip([None, None, None, 5, 5, 6], texts, strict=True), (5, texts[3])], "doc_id long, text string")
+    assert Counter(r.text for r in simhash_near.one_of_each_class(docs).collect()) == Counter(texts)
