@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import json
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -31,17 +33,40 @@ MAX_SEGMENTS = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: White space of this many characters is taken out of a text and encoded by itself: the splitting pattern looks back
+#: over a whole run, which exhausts its stack on very long ones. Python's class has four control characters more.
+LONG_RUN = 4096
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{%d,}" % LONG_RUN)
+
+
 @lru_cache(maxsize=4)
-def encoding(ranks_path: str):
-    """The byte-pair encoding of a file of ranks, with the added tokens of the tokenizer file beside it."""
+def encoder(ranks_path: str) -> Callable[[str], list[int]]:
+    """From whole texts to token ids under a file of ranks, with the added tokens of the tokenizer file beside it, if
+    there is one. Texts of any length: a run of white space before ordinary text is one piece but for its last character."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    with open(ranks_path.removesuffix(".tiktoken") + ".json", "rb") as f:
-        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    whole, added = ranks_path.removesuffix(".tiktoken") + ".json", {}
+    if os.path.exists(whole):
+        with open(whole, "rb") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    names = tuple(added)
+    plain, piece = partial(made.encode, allowed_special="all"), made._core_bpe.encode_single_piece
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return plain(text)
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text) and not text.startswith(names, run.end()))
+            ids += plain(text[at : run.start()]) + piece(text[run.start() : end].encode())
+            at = end
+        return ids + plain(text[at:])
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -49,7 +74,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, end
     doc_tokens (with the closing id)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = partial(encoding(ranks_path).encode, allowed_special="all")  # added tokens in texts count as such, as in the tokenizer
+        encode = encoder(ranks_path)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import text_or_empty
-from .packing import encoding
+from .packing import encoder
 
 GROUP = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, documents long, tokens long"
@@ -30,7 +30,7 @@ def count_tokens(text: Column, ranks_path: str) -> Column:
     """The number of byte-pair tokens of whole texts; null counts as empty."""
 
     def of(texts: pd.Series) -> pd.Series:
-        encode = encoding(ranks_path).encode_ordinary
+        encode = encoder(ranks_path)
         return pd.Series([len(encode(t or "")) for t in texts], dtype="int64")
 
     return F.pandas_udf(of, LongType())(text)

@@ -206,3 +206,18 @@ def test_packing_knows_added_tokens(spark):
     for k, t in enumerate(texts):
         ids = np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4")
         assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_encoder_on_long_runs():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(ranks_path())
+    draw = random.Random(4)
+    texts = ["a" + " " * 5000 + "b", "a" + "\n" * 5000, "\t " * 4000 + "<|endoftext|>" + " " * 4096 + "!", "\u3000" * 4097 + "x", "\x1c" * 5000 + " y", " " * 4095 + "z"]
+    texts += ["".join(draw.choice([" " * 4096, "\n" * 4100, "word", " ", "9", "é", "<|endoftext|>"]) for _ in range(12)) for _ in range(40)]
+    texts += [" " * 2_000_000, "\n" * 2_000_000 + "x", "a" * 2_000_000]
+    for t in texts:
+        assert encode(t) == plain.encode(t, add_special_tokens=False).ids
+    many = packing.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert many("x") and 50256 not in many("<|endoftext|>") and len(many(" " * 2_000_000)) > 0
