@@ -79,3 +79,25 @@ def running_start(df: DataFrame, group: list[str], bucket: list[str], order: lis
     local = valued.withColumn("_local", F.sum("_v").over(within) - F.col("_v"))
     joined = local.alias("l").join(offsets.alias("r"), kept)
     return joined.select("l.*", (F.col("l._local") + F.col("r._offset")).alias(name)).drop("_v", "_local")
+
+
+def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Adds ``name``, from 1 in ``order``, without a window over all rows: a global sort numbers the rows of each of
+    its partitions, and the partitions before a row are counted."""
+    held = materialise(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    parts = held.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = held.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_part")  # a row a partition
+    rank = F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn(name, rank.cast("long")).drop("_at", "_part", "_offset")
+
+
+def in_range(df: DataFrame, position: str, ranges: DataFrame, number: int, total: int) -> DataFrame:
+    """Inner join of ``df`` with the one of ``number`` disjoint ``ranges`` (start, length, ...) of 0..total-1 that
+    ``position`` falls in. The places are cut into cells, which are the equality, and a cell lists only the ranges
+    that reach into it."""
+    cell = max(1, -(-total // max(1024, 8 * number)))
+    reach = ranges.where("length > 0").withColumn("_cell", F.explode(F.expr(f"sequence(start div {cell}, (start + length - 1) div {cell})")))
+    placed = df.withColumn("_cell", F.expr(f"{position} div {cell}")).join(reach, "_cell")
+    return placed.where(F.col(position).between(F.col("start"), F.col("start") + F.col("length") - 1)).drop("_cell")

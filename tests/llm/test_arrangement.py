@@ -39,8 +39,36 @@ def test_permutation(spark):
     from pyspark.sql import functions as F
 
     for n in (1, 2, 97, 1000):
-        got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5))).collect()]
+        got = [r[0] for r in mixing.permuted(spark.range(n), "id", f"{n}L", mixing.round_keys(5)).collect()]
         assert sorted(got) == list(range(n)) and (n < 97 or got != sorted(got))
+    keyed = mixing.with_round_keys(spark.range(1000).withColumn("key", F.lit(5)), "key")
+    assert [r.id for r in mixing.permuted(keyed, "id", "1000L", mixing.ROUND_COLUMNS).collect()] == got
+
+
+@pytest.mark.parametrize("bits", [20, 36, 50])
+def test_images_spread(spark, bits):
+    """Neighbouring numbers go everywhere alike: by octile, and by octile together with the next number's."""
+    got = mixing.permuted(spark.range(40_000), "id", f"{1 << bits}L", mixing.round_keys(0)).toPandas()["id"].to_numpy() >> (bits - 3)
+    for seen, cells in ((got, 8), (got[:-1] * 8 + got[1:], 64)):
+        n = np.bincount(seen, minlength=cells)
+        assert ((n - n.mean()) ** 2 / n.mean()).sum() / (cells - 1) < 2
+
+
+def dispersion(slots, shards):
+    """Chi-squared a degree of freedom of the sources' counts in the full shards."""
+    n = slots.where(f"shard < {shards}").groupBy("shard", "rank").count().toPandas().pivot(index="shard", columns="rank", values="count").fillna(0).to_numpy()
+    expected = n.sum(axis=0) / n.shape[0]
+    return ((n - expected) ** 2 / expected).sum() / ((n.shape[0] - 1) * (n.shape[1] - 1))
+
+
+def test_shards_hold_every_source_in_proportion(spark):
+    slots = 1 << 20
+    plan = spark.createDataFrame([(1, 1000, slots // 2, 0), (2, 70_000, slots // 2, slots // 2)], "rank long, blocks long, draws long, start long")
+    assert 0.6 < dispersion(mixing.mix_slots(plan, slots), slots // mixing.SHARD_SLOTS) < 1.5
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    filled = mixing.mix(docs)[1]
+    assert dispersion(filled, filled.count() // mixing.SHARD_SLOTS) < 1.5
+    assert filled.groupBy("rank", "epoch", "block").count().where("count > 1").isEmpty()
 
 
 def test_mix(spark, odd, none):
