@@ -51,7 +51,7 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def lookup(big: DataFrame, small: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
     """Inner join of ``big`` with ``small``, which has one row per key and in ``weight`` the number of rows of
     ``big`` with it. Keys with ``weight * HOT_SHARE >= total`` number HOT_SHARE at most, so broadcasting them is
     bounded; every other key holds under 1/HOT_SHARE of the rows, so the shuffle join beyond it has no skew."""
