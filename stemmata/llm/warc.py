@@ -33,34 +33,42 @@ FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 25
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "page_id long, bundle string, frame int, frame_offset long, record_bytes long"
+#: Tasks that read bundles at most, a few bundles each beyond that.
+MAX_READERS = 50_000
+INDEX = "page_id long, record_id string, bundle string, frame int, frame_offset long, record_bytes long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, payload_digest: str, place: str = "") -> str:
+    """Of the page and its payload, so that whatever refers to it can tell it too; ``place`` sets rows apart that repeat
+    both."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}:{place}')}>"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record; a revisit has the response's headers only."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, place: str = "") -> tuple[str, bytes]:
+    """The identifier of one WARC record and the record; a revisit has the response's headers only. It names the
+    response's record unless ``place`` is given, since there are then several that it might name."""
+    said = digest(payload)
+    own = record_id(page_id, said, place)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}",
+        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{said}", f"X-Payload-Length: {len(payload)}",
     ]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if url is not None:
         lines.append("WARC-Target-URI: " + " ".join(url.split()))
     if revisit:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        lines += [] if place else [f"WARC-Refers-To: {record_id(refers_to, said)}"]
+        lines += [f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return own, "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -95,13 +103,13 @@ class Bundle:
     def __init__(self) -> None:
         self.frames: list[tuple[bytes, int]] = []
         self.open = bytearray()
-        self.index: list[tuple[int | None, int, int, int]] = []
+        self.index: list[tuple[int | None, str, int, int, int]] = []
         self.size = 0
 
-    def add(self, page_id: int | None, data: bytes) -> None:
+    def add(self, page_id: int | None, identifier: str, data: bytes) -> None:
         if self.open and len(self.open) + len(data) > FRAME_BYTES:
             self._close()
-        self.index.append((page_id, len(self.frames), len(self.open), len(data)))
+        self.index.append((page_id, identifier, len(self.frames), len(self.open), len(data)))
         self.open += data
         self.size += len(data)
 
@@ -112,7 +120,7 @@ class Bundle:
 
     def close(self) -> bytes:
         self._close()
-        ids = json.dumps([[record_id(p), *x] for p, *x in self.index]).encode()
+        ids = json.dumps([x for _, *x in self.index]).encode()
         packed = zstandard.ZstdCompressor(level=3).compress(ids)
         index = struct.pack("<II", SKIPPABLE, len(packed)) + packed
         entries = [(len(z), n) for z, n in self.frames] + [(len(index), 0)]
@@ -166,36 +174,39 @@ def _save(uri: str, data: bytes) -> None:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), revisit, refers_to."""
+    """page_id, url, payload (binary), revisit, refers_to, repeats (whether rows with this payload repeat an id)."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
-    same = rows.groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("rows"), F.max(F.octet_length("payload")).alias("n"))
-    same = materialise(same.where(F.col("rows") >= 1), "payloads")
+    pairs = rows.groupBy("key", "page_id").agg(F.count("*").alias("rows"), F.max(F.octet_length("payload")).alias("n"))
+    same = pairs.groupBy("key").agg(F.max("page_id").alias("holder"), F.sum("rows").alias("rows"), F.max("n").alias("n"), (F.max("rows") > 1).alias("repeats"))
+    same = materialise(same, "payloads")
     total = same.agg(F.sum("rows")).first()[0] or 0
     joined = lookup(rows, same, "key", "rows", total)
     revisit = (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("holder"))
-    return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("holder")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("holder")).alias("refers_to"), "repeats")
 
 
 def write_bundles(rows: DataFrame, folder: str) -> DataFrame:
     """Writes the bundles and returns their committed INDEX, one row per record."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        attempt, made, bundle = TaskContext.get().taskAttemptId(), 0, Bundle()
+        attempt = f"{TaskContext.get().taskAttemptId():08d}-{uuid.uuid4().hex[:8]}"
+        made, bundle = 0, Bundle()
 
         def flush() -> pd.DataFrame:
-            name = f"{folder}/{attempt:08d}-{made:05d}-{uuid.uuid4().hex[:8]}.warc.zst"
+            name = f"{folder}/{attempt}-{made:05d}.warc.zst"
             _save(name, bundle.close())
-            out = [(page, name, *place) for page, *place in bundle.index]
+            out = [(page, own, name, *place) for page, own, *place in bundle.index]
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in INDEX.split(", ")])
             return frame.astype({"page_id": "Int64"})
 
         for batch in batches:
             ids, others = batch["page_id"].astype("Int64"), batch["refers_to"].astype("Int64")
-            for page, url, payload, revisit, other in zip(ids, batch["url"], batch["payload"], batch["revisit"], others, strict=True):
+            for page, url, payload, revisit, other, repeats in zip(ids, batch["url"], batch["payload"], batch["revisit"], others, batch["repeats"], strict=True):
                 page, other = (None if x is pd.NA else int(x) for x in (page, other))
-                bundle.add(page, record(page, url, bytes(payload), other, bool(revisit)))
+                place = f"{attempt}-{made}-{len(bundle.index)}" if repeats else ""
+                bundle.add(page, *record(page, url, bytes(payload), other, bool(revisit), place))
                 if bundle.size >= BUNDLE_BYTES:
                     yield flush()
                     made, bundle = made + 1, Bundle()
@@ -221,7 +232,9 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         frame = pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
                         yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return bundles.mapInPandas(read, RECORD)
+    # The list of addresses is short, and would otherwise be one task; a number that is asked for isn't coalesced.
+    readers = min(MAX_READERS, max(1, bundles.count()))
+    return bundles.repartitionByRange(readers, "bundle").mapInPandas(read, RECORD)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
