@@ -52,12 +52,13 @@ def exact_groups(docs: DataFrame, *, digest_chars: int = 64, salts: int = 32) ->
     is_hot = (F.col("rows") > 1) & (F.col("rows") * HOT_SHARE >= total)
     hot = materialise(by_digest.where(is_hot).select("digest").repartition(1), "hot")  # HOT_SHARE rows at most: one file
 
-    whole = rows.withColumn("rank", _rank(F.col("n"), F.col("doc_id")))
+    # Salts are dealt by the row, since rows may repeat an id; which row gets which decides nothing.
+    whole = rows.withColumn("rank", _rank(F.col("n"), F.col("doc_id"))).withColumn("row_number", F.monotonically_increasing_id())
     best = [F.max_by("doc_id", "rank").alias("keep_id"), F.max("rank").alias("rank"), F.count("*").alias("group_size")]
     cold = whole.join(F.broadcast(hot), "digest", "left_anti").groupBy("digest", "content").agg(*best)
     salted = (
         whole.join(F.broadcast(hot), "digest")
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        .withColumn("salt", F.pmod("row_number", F.lit(salts)))
         .groupBy("digest", "salt", "content")
         .agg(*best)
     )
