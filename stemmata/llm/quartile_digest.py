@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     marked = ids.where("doc_id is not null").mapInPandas(_ranged(nearest), "doc_id long, range long, first boolean")
     found = marked.groupBy("range").agg(F.min("doc_id").alias("least")).collect()  # MAX_RANGES rows at most
     bounds = np.array(sorted([r.least for r in found] + ([NO_ID] if least < n else [])), np.int64)  # nulls come first
-    return _dealt(rows, _ranged(bounds), len(bounds))
+    return _dealt(rows, _ranged(bounds), len(bounds), deal_keys(spark, len(bounds)))
 
 
 def _ranged(bounds: np.ndarray):
@@ -125,7 +125,13 @@ def _ranged(bounds: np.ndarray):
     return deal
 
 
-def _dealt(rows: DataFrame, deal, ranges: int) -> DataFrame:
+def deal_keys(spark: SparkSession, tasks: int) -> DataFrame:
+    """(range, key): for each range a number whose hash sends it to a task of its own; MAX_RANGES rows at most."""
+    tried = spark.range(tasks * (20 + tasks.bit_length())).select(F.col("id").cast("int").alias("key"))
+    return tried.groupBy(F.pmod(F.hash("key"), F.lit(tasks)).cast("long").alias("range")).agg(F.min("key").alias("key"))
+
+
+def _dealt(rows: DataFrame, deal, ranges: int, keys: DataFrame) -> DataFrame:
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     dealt = hashed.mapInPandas(deal, "doc_id long, text string, text_hash long, range long, first boolean")
     before = F.pmod(F.col("range") - 1, F.lit(ranges))
@@ -134,7 +140,7 @@ def _dealt(rows: DataFrame, deal, ranges: int) -> DataFrame:
         F.when(F.col("first"), F.struct(before.alias("range"), F.lit(1).alias("peek"))),
     )
     sent = dealt.select("doc_id", "text", "text_hash", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("to"))
-    sent = sent.select("to.range", "to.peek", "doc_id", "text", "text_hash")
+    sent = sent.select("to.range", "to.peek", "doc_id", "text", "text_hash").join(F.broadcast(keys), "range", "left")
     # As many tasks as ranges, so that a task stays as small as it is however large the table.
-    ordered = sent.repartition(max(1, ranges), "range").sortWithinPartitions("range", "peek", "doc_id", "text_hash")
+    ordered = sent.repartition(max(1, ranges), F.coalesce("key", F.col("range").cast("int")).alias("key")).sortWithinPartitions("range", "peek", "doc_id", "text_hash")
     return ordered.select("range", "peek", "doc_id", "text").mapInPandas(_walk, OUT)
