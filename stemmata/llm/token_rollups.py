@@ -2,24 +2,28 @@
 
 A change to a document has an image before and an image after: inserts lack the first, deletes the second, revised
 counts have both, and may move a document to another source, language or tokenizer version. Every image becomes a
-signed row; a batch's signed rows are summed by (source, lang, tokenizer) and written as that batch's deltas. Totals
-are the sums over all batches, so no batch reads what came before it.
-
-A batch is committed when its folder has Spark's success marker; a batch id that is committed already is left alone,
-whatever it brings, and a folder that a lost job left without the marker is overwritten. Nulls in the grouping
-columns are groups of their own, null counts are 0, groups that come to no documents and no tokens are not reported.
+signed row; a batch's signed rows are summed by (source, lang, tokenizer), and these sums are added to the totals that
+the version before holds, which have one row a group. So a batch reads its own changes and the totals, never what
+came before it, and a reader reads one version.
+
+A version is a folder of totals and of the names of the batches in them. It counts from when its entry is in the log,
+which names the folder; an entry is put there by a rename that fails if there is one of its number, so of two writers
+one is the first and the other starts again from its version. A batch id that a version has already is left alone,
+whatever it brings, and folders that a lost job left are named by no entry. Nulls in the grouping columns are groups
+of their own, null counts are 0, groups that come to no documents and no tokens are not kept.
 """
 
 from __future__ import annotations
 
-from urllib.parse import quote
+import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import text_or_empty
+from .common import materialise, text_or_empty
 from .packing import encoder
 
 GROUP = ("source", "lang", "tokenizer")
@@ -56,36 +60,91 @@ class Rollup:
     """Totals kept under ``path``, a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, batch: str) -> str:
-        return f"{self.path}/batches/{quote(batch, safe='')}"
+        self.spark = spark
+        self._fs = spark._jvm.org.apache.hadoop.fs
+        at = self._fs.Path(path)
+        self._store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.path = self._store.makeQualified(at).toString()
+
+    def _at(self, *parts: str):
+        return self._fs.Path("/".join([self.path, *parts]))
+
+    def _entries(self) -> list[str]:
+        log = self._at("log")
+        return sorted(s.getPath().getName() for s in self._store.listStatus(log)) if self._store.exists(log) else []
+
+    def _latest(self) -> tuple[int, str | None]:
+        """The number and the folder of the version that counts."""
+        entries = [e for e in self._entries() if not e.startswith(".")]
+        if not entries:
+            return 0, None
+        stream = self._store.open(self._at("log", entries[-1]))
+        try:
+            said = json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+        return int(entries[-1]), said["folder"]
+
+    def _publish(self, number: int, batch: str, folder: str) -> bool:
+        """Enters a version in the log; False if there is one of its number."""
+        made, entry = self._at("log", f".{uuid.uuid4().hex}"), self._at("log", f"{number:012d}")
+        stream = self._store.create(made, False)
+        stream.write(json.dumps({"batch": batch, "folder": folder}).encode())
+        stream.close()
+        context = self._fs.FileContext.getFileContext(entry.toUri(), self.spark._jsc.hadoopConfiguration())
+        no_options = self.spark.sparkContext._gateway.new_array(self._fs.Options.Rename, 0)
+        try:
+            context.rename(made, entry, no_options)
+        except Exception as e:
+            self._store.delete(made, False)
+            if "AlreadyExists" not in str(e):
+                raise
+            return False
+        return True
 
-    def _committed(self, folder: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _totals(self, folder: str | None) -> DataFrame:
+        if folder is None:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{folder}/totals")
 
-    def batches(self) -> list[str]:
-        """The folders of the committed batches."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches")
-        store = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not store.exists(at):
-            return []
-        return sorted(f for f in (s.getPath().toString() for s in store.listStatus(at)) if self._committed(f))
+    def _batches(self, folder: str | None) -> DataFrame:
+        if folder is None:
+            return self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/{folder}/batches")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch once; False if it had been applied before."""
-        folder = self._folder(batch)
-        if self._committed(folder):
-            return False
-        _summed(signed(changes)).write.mode("overwrite").parquet(folder)
-        return True
+        deltas = None
+        while True:
+            number, before = self._latest()
+            if not self._batches(before).where(F.col("batch") == batch).isEmpty():
+                return False
+            if deltas is None:
+                deltas = materialise(_summed(signed(changes)), "deltas")
+            folder = f"versions/{number + 1:012d}-{uuid.uuid4().hex}"
+            after = _summed(self._totals(before).unionByName(deltas)).where("documents <> 0 or tokens <> 0")
+            after.write.parquet(f"{self.path}/{folder}/totals")
+            named = self._batches(before).unionByName(self.spark.createDataFrame([(batch,)], "batch string"))
+            named.write.parquet(f"{self.path}/{folder}/batches")
+            if self._publish(number + 1, batch, folder):
+                return True
+            self._store.delete(self._at(folder), True)
 
     def totals(self) -> DataFrame:
         """One row per group that has documents or tokens."""
-        folders = self.batches()
-        rows = self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
-        return _summed(rows).where("documents <> 0 or tokens <> 0")
+        return self._totals(self._latest()[1])
+
+    def vacuum(self) -> None:
+        """Deletes all versions but the one that counts; no one may be reading or committing."""
+        number, folder = self._latest()
+        if folder is None:
+            return
+        for entry in self._entries():
+            if entry != f"{number:012d}":
+                self._store.delete(self._at("log", entry), False)
+        for held in self._store.listStatus(self._at("versions")):
+            if f"versions/{held.getPath().getName()}" != folder:
+                self._store.delete(held.getPath(), True)
 
 
 def counted(docs: DataFrame, tokenizer: str, ranks_path: str) -> DataFrame:
