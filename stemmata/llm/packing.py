@@ -118,28 +118,32 @@ def pack_group(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 def pack(pieces: DataFrame, limits: dict[str, int], *, length: str = "length", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset (where the piece begins in its sequence) to ``pieces``. ``limits`` maps columns of
-    whole numbers, the demands, to what a sequence may hold of each; the first is of tokens. Null demands count as 0."""
+    whole numbers, the demands, to what a sequence may hold of each; the first is of tokens. Null demands count as 0.
+    Columns that are called like the two new ones are replaced."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    held = materialise(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    pieces = pieces.drop("sequence_id", "offset")
+    called = {c: f"c{k}" for k, c in enumerate(pieces.columns)}  # names as they come may clash, or have dots
+    held = materialise(pieces.toDF(*called.values()).withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-held.count() // group_pieces))
-    names, most = list(limits), np.array(list(limits.values()), np.int64)
-    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    names, most = [called[c] for c in limits], np.array(list(limits.values()), np.int64)
+    kept = [StructField(called[f.name], f.dataType) for f in pieces.schema.fields]
+    schema = StructType([*kept, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_row")
+        frame = frame.sort_values("row")
         local = pack_group(frame[names].fillna(0).to_numpy(np.int64), most)
-        group = int(frame["_group"].iloc[0])
-        sizes = frame[length].fillna(0).to_numpy(np.int64)
+        group = int(frame["deal"].iloc[0])
+        sizes = frame[called[length]].fillna(0).to_numpy(np.int64)
         order = np.lexsort((np.arange(len(local)), local))
         total = np.cumsum(sizes[order]) - sizes[order]
         opens = np.r_[True, local[order][1:] != local[order][:-1]]
         offset = np.empty(len(local), np.int64)
         offset[order] = total - np.maximum.accumulate(np.where(opens, total, 0))
-        return frame.drop(columns=["_row", "_group"]).assign(sequence_id=(group << 32) + local, offset=offset)
+        return frame.drop(columns=["row", "deal"]).assign(sequence_id=(group << 32) + local, offset=offset)
 
-    dealt = held.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(place, schema)
+    dealt = held.withColumn("deal", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    return dealt.groupBy("deal").applyInPandas(place, schema).toDF(*pieces.columns, "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, ranks_path: str, *, capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS) -> DataFrame:
@@ -147,3 +151,37 @@ def packed_documents(docs: DataFrame, ranks_path: str, *, capacity: int = CAPACI
     pieces = token_pieces(docs, ranks_path, capacity).withColumns({"segments": F.lit(1).cast("long"), "loss_tokens": F.col("length")})
     packed = pack(pieces, {"length": capacity, "segments": max_segments, "loss_tokens": capacity})
     return packed.drop("segments", "loss_tokens")
+
+
+INSTRUCTION = "conv_id long, turn long, start long, length long, loss_tokens long, ids array<int>, loss_mask array<boolean>"
+
+
+def instruction_pieces(conversations: DataFrame, ranks_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+    """One example for each assistant turn: the turn before it (nothing, if there is none), the answer and the closing
+    id, of which the last two bear loss; cut into pieces. Of other turns that repeat conversation and number the
+    smallest text counts; answers that repeat them are examples each. Null texts are empty."""
+    at = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn")]
+    answer = F.col("role").eqNullSafe("assistant")
+    answers = conversations.where(answer).select(*at, text_or_empty().alias("answer"))
+    prompts = conversations.where(~answer).select(at[0], (at[1] + 1).alias("turn"), text_or_empty().alias("text"))
+    prompts = prompts.groupBy("conv_id", "turn").agg(F.min("text").alias("prompt"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder(ranks_path)
+        for batch in batches:
+            out: list[tuple] = []
+            for conv, turn, text, before in zip(batch["conv_id"], batch["turn"], batch["answer"], batch["prompt"], strict=True):
+                asked, said = encode(before or ""), [*encode(text), end_id]
+                ids, loss = np.array(asked + said, np.int32), np.repeat([False, True], [len(asked), len(said)])
+                out += [(conv, turn, k, len(ids[k : k + capacity]), int(loss[k : k + capacity].sum()), ids[k : k + capacity], loss[k : k + capacity]) for k in range(0, len(ids), capacity)]
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in INSTRUCTION.split(", ")])
+            yield frame.astype({"conv_id": "Int64", "turn": "Int64"})
+
+    return answers.join(prompts, ["conv_id", "turn"], "left").select("conv_id", "turn", "answer", "prompt").mapInPandas(cut, INSTRUCTION)
+
+
+def packed_instructions(conversations: DataFrame, ranks_path: str, *, capacity: int = CAPACITY, max_segments: int = 16, max_loss: int = CAPACITY // 2) -> DataFrame:
+    """The examples of ``instruction_pieces`` in sequences within all three limits; here they don't go together, since a
+    long question has many tokens and a long answer much loss."""
+    pieces = instruction_pieces(conversations, ranks_path, capacity).withColumn("segments", F.lit(1).cast("long"))
+    return pack(pieces, {"length": capacity, "segments": max_segments, "loss_tokens": max_loss}).drop("segments")
