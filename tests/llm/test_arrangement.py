@@ -146,16 +146,22 @@ def test_shards(odd, none, shards):
     assert sharding.shard_documents(none, shards).count() == 0
 
 
-def test_shards_keep_groups_together(spark):
+@pytest.mark.parametrize("n, shards, hot", [(2000, 8, 4), (8000, 40, 4)])
+def test_shards_keep_groups_together(spark, n, shards, hot):
+    """No group lies in over one shard more than it fills, and how the rows are split changes nothing."""
     draw = random.Random(1)
-    data = [(k, f"copy {draw.randrange(60)}" if k % 4 == 0 else "hot" if k % 4 == 1 else f"single {k}") for k in range(2000)]
-    got = sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string"), 8).collect()
-    check_shards(got, 8)
-    text, where = dict(data), defaultdict(set)
+    data = [(k, "hot" if k % hot == 1 else f"copy {draw.randrange(60)}" if k % hot == 0 else f"single {k}") for k in range(n)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards).collect()
+    check_shards(got, shards)
+    text, where = dict(data), defaultdict(Counter)
     for r in got:
-        where[text[r.doc_id]].add(r.shard)
-    cut = [t for t, s in where.items() if t.startswith("copy") and len(s) > 1]
-    assert len(cut) <= 15 and len(where["hot"]) <= 5
+        where[text[r.doc_id]][r.shard] += 1
+    assert all(len(s) <= -(-s.total() // (n // shards)) + 1 for s in where.values())
+    assert sum(len(s) > 1 for t, s in where.items() if t.startswith("copy")) <= 6
+    for parts in (1, 3) if n == 2000 else ():
+        again = sharding.shard_documents(docs.repartition(parts), shards).collect()
+        assert Counter(again) == Counter(got)
 
 
 def test_warc_round_trip(spark):
@@ -183,11 +189,33 @@ def test_warc_seeks_one_frame(spark):
     index = warc.write_bundles(warc.with_revisits(pages), scratch_path(spark, "seek")).collect()
     assert max(r.frame for r in index) > 0
     for r in index:
-        headers, block = warc.read_record(r.bundle, warc.record_id(r.page_id))
+        assert r.record_id == warc.record_id(r.page_id, warc.digest((f"{r.page_id} " * 60_000).encode()))
+        headers, block = warc.read_record(r.bundle, r.record_id)
         assert headers["X-Page-Id"] == str(r.page_id)
         assert hashlib.sha1(block.split(b"\r\n\r\n", 1)[1]).digest() == hashlib.sha1((f"{r.page_id} " * 60_000).encode()).digest()
 
 
+def test_warc_repeated_ids_have_records_of_their_own(spark):
+    data = [(1, "a", "one"), (1, "b", "two"), (2, "c", "three"), (2, "d", "three"), (1, "e", "three"), (None, "f", "four"), (None, "g", "four")]
+    index = warc.write_bundles(warc.with_revisits(spark.createDataFrame(data, "page_id long, url string, html string")), scratch_path(spark, "seek")).collect()
+    assert len({r.record_id for r in index}) == len(data)
+    found = set()
+    for r in index:
+        headers, block = warc.read_record(r.bundle, r.record_id)
+        assert headers["WARC-Record-ID"] == r.record_id
+        found.add((r.page_id, headers["WARC-Target-URI"], headers["WARC-Type"], headers.get("X-Refers-To-Page-Id")))
+    assert found == {(1, "a", "response", None), (1, "b", "response", None), (2, "c", "response", None), (2, "d", "response", None), (1, "e", "revisit", "2"), (None, "f", "response", None), (None, "g", "response", None)}
+
+
+def test_warc_bundles_are_read_by_as_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1)
+    pages = spark.createDataFrame([(k, None, str(k)) for k in range(30)], "page_id long, url string, html string").repartition(2)
+    index = warc.write_bundles(warc.with_revisits(pages), scratch_path(spark, "many"))
+    bundles = index.select("bundle").distinct()
+    read = warc.read_bundles(bundles)
+    assert read.rdd.getNumPartitions() == bundles.count() > 1 and read.count() == 30
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -249,3 +277,46 @@ def test_encoder_on_long_runs():
         assert encode(t) == plain.encode(t, add_special_tokens=False).ids
     many = packing.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert many("x") and 50256 not in many("<|endoftext|>") and len(many(" " * 2_000_000)) > 0
+
+
+def test_packed_instructions_keep_every_limit(spark):
+    draw = random.Random(6)
+    data = [(c, t, "assistant" if t % 2 else "user", "word " * draw.randrange(1, 700)) for c in range(60) for t in range(4)]
+    data += [(99, 0, "assistant", "no question"), (99, 3, "assistant", None), (None, 1, "assistant", "x"), (98, 0, None, "left alone"), (1, 1, "assistant", "again")]
+    talks = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = packing.packed_instructions(talks, ranks_path()).collect()
+    encode = packing.encoder(ranks_path())
+    want = Counter()
+    for c, t, role, text in data:
+        if role == "assistant":
+            asked = [x for d, u, r, x in data if d == c and c is not None and u == t - 1 and r != "assistant"]
+            want[c, t] += len(encode(asked[0] if asked else "")) + len(encode(text or "")) + 1
+    have, used = Counter(), defaultdict(lambda: np.zeros(3, int))
+    for r in got:
+        have[r.conv_id, r.turn] += r.length
+        used[r.sequence_id] += [r.length, 1, r.loss_tokens]
+        assert len(r.ids) == r.length and sum(r.loss_mask) == r.loss_tokens
+    assert have == want
+    held = Counter(r.sequence_id for r in got)
+    assert all((n <= [1024, 16, 512]).all() or held[k] == 1 for k, n in used.items())
+    loss = sum(n[2] for n in used.values())
+    assert any(n[2] > 400 and n[0] < 900 for n in used.values()) and loss > 0
+
+
+def test_pack_with_clashing_columns(spark):
+    pieces = spark.range(50).selectExpr("id", "id * 7 + 1 AS length", "id AS _row", "id AS _group", "id AS _row0", "'x' AS sequence_id", "'y' AS offset", "id AS `a.b`")
+    got = packing.pack(pieces, {"length": 500}).collect()
+    assert sorted(r.id for r in got) == list(range(50)) and all(r._row == r._row0 == r["a.b"] == r.id for r in got)
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 500
+
+
+def test_stages_keep_columns_with_dots(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).selectExpr("*", "doc_id AS `a.b`", "source AS row", "1 AS copy", "'z' AS sha")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "/root/testdata/sf0.001")
+        assert after.columns == docs.columns and after.count() > 0, name

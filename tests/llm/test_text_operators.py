@@ -144,3 +144,101 @@ def test_token_counts_are_the_tokenizers(odd):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = Counter((r.doc_id, r.image.tokens) for r in token_rollups.counted(odd, "t", ranks_path()).collect())
     assert got == Counter((r[0], len(plain.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows())
+
+
+def test_rollup_writers_meet(spark, monkeypatch):
+    """Whoever enters a version second starts again from the first one's; a batch counts once whoever brings it."""
+    struct = "struct<source:string,lang:string,tokenizer:string,tokens:long>"
+    new = lambda n: spark.createDataFrame([{"before": None, "after": image("a", "en", "t", n)}], f"before {struct}, after {struct}")
+    path = scratch_path(spark, "race")
+    one, two = token_rollups.Rollup(spark, path), token_rollups.Rollup(spark, path)
+    publish, done = token_rollups.Rollup._publish, []
+
+    def late(self, number, batch, folder):
+        if self is one and not done:
+            done.append(two.commit("second", new(5)) and two.commit("third", new(7)))
+        return publish(self, number, batch, folder)
+
+    monkeypatch.setattr(token_rollups.Rollup, "_publish", late)
+    assert one.commit("first", new(1)) and done == [True] and not two.commit("first", new(1))
+    total = lambda: [(r.documents, r.tokens) for r in one.totals().collect()]
+    assert total() == [(3, 13)]
+    one.vacuum()
+    assert total() == [(3, 13)] and not one.commit("third", new(7)) and one.commit("fourth", new(1)) and total() == [(4, 14)]
+    assert one._latest()[0] == 4
+
+
+def test_token_counts_query_against_brute_force(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stemmata.llm import packing
+    from stemmata.llm.queries import op4_token_counts
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "labels"))
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    many = packing.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    toxic = {r.doc_id for r in labels if r.toxic == 1}
+    want = Counter()
+    for r in docs:
+        if r.doc_id not in toxic:
+            name = "byte_bpe_50k" if r.lang == "en" else "byte_bpe_multi_50k"
+            ids = plain.encode(r.text or "", add_special_tokens=False).ids if r.lang == "en" else many(r.text or "")
+            want[r.source, r.lang, name, "documents"] += 1
+            want[r.source, r.lang, name, "tokens"] += len(ids)
+    got = Counter()
+    for r in op4_token_counts(spark, sf).collect():
+        got[r.source, r.lang, r.tokenizer, "documents"], got[r.source, r.lang, r.tokenizer, "tokens"] = r.documents, r.tokens
+    assert got == want
+
+
+def test_digest_against_plain_counting():
+    """The digest and the likeness, by loops over triplets and buckets."""
+    draw = np.random.default_rng(5)
+
+    def plain(data):
+        n = [0] * 256
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            n[((a | b << 8 | c << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 24] += 1
+        ordered = sorted(n)
+        grades = [sum(x > ordered[k] for k in (63, 127, 191)) for x in n]
+        step = lambda x: min(255, round(8 * np.log1p(x)))
+        bits = "".join(f"{g:02b}" for g in grades)
+        return f"{step(len(data)):02x}{step(sum(n) / 256):02x}{int(bits, 2):0128x}", grades, step(len(data))
+
+    apart = {0: 0, 1: 1, 2: 2, 3: 6}
+    held = [b"", b"ab", b"abc", bytes(draw.integers(32, 120, 5000, np.uint8)), bytes(draw.integers(97, 123, 700, np.uint8)) * 3, "Ünïcode ".encode() * 90]
+    for x in held:
+        assert quartile_digest.digest(x) == plain(x)[0]
+        for y in held:
+            (a, g, m), (b, h, n) = plain(x), plain(y)
+            far = sum(apart[abs(p - q)] for p, q in zip(g, h, strict=True)) + 4 * max(0, abs(m - n) - 1)
+            assert quartile_digest.likeness(a, b) == pytest.approx(max(0, 1 - far / 512))
+
+
+def test_ranges_get_tasks_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 7, 125, 1000):
+        keys = quartile_digest.deal_keys(spark, n)
+        assert keys.count() == n
+        dealt = keys.repartition(n, "key").select("range", F.spark_partition_id().alias("task"))
+        assert dealt.select("task").distinct().count() == n and dealt.where("range <> task").isEmpty()
+
+
+def test_fit_against_plain_moments(spark):
+    draw = np.random.default_rng(8)
+    d = len(quality.NAMES)
+    x = {c: draw.normal(c, 1 + c, (300 + 50 * c, d)) for c in (0, 1)}
+    train = spark.createDataFrame([([float(v) for v in row], c) for c in x for row in x[c]], "stats array<double>, label int")
+    model = quality.fit(train.repartition(5))
+    own = {c: np.cov(x[c].T, bias=True) for c in x}
+    total = sum(len(v) for v in x.values())
+    pooled = sum(len(x[c]) * own[c] for c in x) / total
+    for c in x:
+        mixed = (1 - quality.POOL) * own[c] + quality.POOL * pooled
+        shrunk = (1 - quality.DIAGONAL) * mixed + quality.DIAGONAL * np.diag(np.diag(mixed)) + quality.FLOOR * np.eye(d)
+        assert np.allclose(model.means[c], x[c].mean(axis=0)) and np.allclose(model.factors[c] @ model.factors[c].T, shrunk)
+        assert np.allclose(model.inverses[c] @ model.factors[c], np.eye(d))
+        assert model.constants[c] == pytest.approx(np.log(len(x[c]) / total) - 0.5 * np.linalg.slogdet(shrunk)[1])
