@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,13 +36,31 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stemmata-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage is cut and a lost executor loses nothing."""
+#: The tables written since each ``scratch`` that is open began.
+_open: list[list[str]] = []
+
+
+def materialise(df: DataFrame, label: str, *, lasting: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage is cut and a lost executor loses nothing. Inside
+    ``scratch`` the table goes when that ends, or with the one around it if the table is ``lasting``."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if len(_open) > lasting:
+        _open[-1 - lasting].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside are deleted at the end; what is used afterwards has to be ``lasting``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop_scratch(spark, path)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Deletes one scratch table whose readers have all been written out."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -151,8 +151,40 @@ def test_near_duplicates_block_by_block(spark, monkeypatch):
     docs, _ = near_copies()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     whole = {r.doc_id: r.component_id for r in simhash_near.near_duplicate_classes(df).collect()}
-    monkeypatch.setattr(simhash_near, "BLOCK_ROWS", 1)
-    assert {r.doc_id: r.component_id for r in simhash_near.near_duplicate_classes(df).collect()} == whole
+    for block, most, stand_ins in ((1, 1000, 16), (3, 1, 2)):  # pairs of blocks; keys by twos, with turns before
+        monkeypatch.setattr(simhash_near, "BLOCK_ROWS", block)
+        monkeypatch.setattr(simhash_near, "MOST_BLOCKS", most)
+        monkeypatch.setattr(simhash_near, "STAND_INS", stand_ins)
+        assert {r.doc_id: r.component_id for r in simhash_near.near_duplicate_classes(df).collect()} == whole
+
+
+def test_prefixes_in_which_two_are_shared():
+    """Alike sets of two shingles or more share two in the longer prefix, in any order."""
+    draw = np.random.default_rng(12)
+    none = np.zeros(0, "<u8")
+    for _ in range(300):
+        n = int(draw.integers(2, 80))
+        a = np.unique(draw.integers(0, 2**63, n).astype("<u8"))
+        b = a.copy()
+        for k in draw.permutation(len(a))[: len(a) // 9]:
+            b[k] = draw.integers(0, 2**63)
+        b = np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if len(a) > 1 and 10 * both >= 8 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(simhash_near.prefix(a, none, none, 2), simhash_near.prefix(b, none, none, 2))) >= 2
+
+
+def test_rows_to_a_member_do_not_grow_with_its_group(spark, monkeypatch):
+    """A member of a large group goes once to a block, or to as many groups of two keys as its prefix has shingles."""
+    monkeypatch.setattr(simhash_near, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(simhash_near, "MOST_BLOCKS", 2)
+    draw = np.random.default_rng(13)
+    held = [np.unique(np.r_[7, draw.integers(8, 2**62, 30)].astype("<u8")) for _ in range(200)]
+    sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(held)], "node long, shingles binary")
+    members = spark.createDataFrame([(7, k, k) for k in range(200)], "key long, node long, root long")
+    assert simhash_near._tasks(members, False).groupBy("node").count().where("count > 1").isEmpty()
+    told = spark.sparkContext.broadcast((np.zeros(0, "<u8"), np.zeros(0, "<u8")))
+    assert simhash_near.narrowed(members, sets, told).isEmpty()  # nothing but the one shingle in common
 
 
 def test_one_of_each_class(odd, none):
