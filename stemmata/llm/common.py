@@ -36,6 +36,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stemmata-{label}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a write go when it is done, not when the driver's memory happens to be collected.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The tables written since each ``scratch`` that is open began.
 _open: list[list[str]] = []
 
@@ -43,11 +45,16 @@ _open: list[list[str]] = []
 def materialise(df: DataFrame, label: str, *, lasting: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage is cut and a lost executor loses nothing. Inside
     ``scratch`` the table goes when that ends, or with the one around it if the table is ``lasting``."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     if len(_open) > lasting:
         _open[-1 - lasting].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
