@@ -174,6 +174,22 @@ def test_prefixes_in_which_two_are_shared():
             assert len(np.intersect1d(simhash_near.prefix(a, none, none, 2), simhash_near.prefix(b, none, none, 2))) >= 2
 
 
+def test_held_keys(spark, monkeypatch):
+    """Of rare shingles of prefixes those that two texts hold, of common ones all, whatever the buckets."""
+    draw = np.random.default_rng(14)
+    pool = draw.integers(0, 2**63, 400).astype("<u8")
+    held = {k: np.unique(draw.choice(pool, int(draw.integers(0, 40)))) for k in range(120)}
+    common, grade = np.sort(pool[:5]), np.array([9, 8, 7, 6, 5])
+    told = spark.sparkContext.broadcast((common, grade))
+    sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in held.items()], "node long, shingles binary").repartition(3)
+    rows = [(k, int(x)) for k, s in held.items() for x in simhash_near.prefix(s, common, grade).view("<i8")]
+    n = Counter(x for _, x in rows)
+    want = Counter(r for r in rows if n[r[1]] > 1 or np.uint64(r[1] % 2**64) in common)
+    for size in (1_000_000, 10):
+        monkeypatch.setattr(simhash_near, "BUCKET_KEYS", size)
+        assert Counter((r.node, r.key) for r in simhash_near.held_keys(sets, told).collect()) == want
+
+
 def test_rows_to_a_member_do_not_grow_with_its_group(spark, monkeypatch):
     """A member of a large group goes once to a block, or to as many groups of two keys as its prefix has shingles."""
     monkeypatch.setattr(simhash_near, "BLOCK_ROWS", 4)
