@@ -174,6 +174,19 @@ def test_prefixes_in_which_two_are_shared():
             assert len(np.intersect1d(simhash_near.prefix(a, none, none, 2), simhash_near.prefix(b, none, none, 2))) >= 2
 
 
+def test_sketches_rule_out_no_link():
+    draw = np.random.default_rng(15)
+    for n in (3, 400, 513, 1000, 1030, 4100):
+        sets = [draw.integers(0, 2**63, n).astype("<u8")]
+        for gone, more in ((n // 9, n // 9), (n // 5, 0), (0, n // 4), (n // 2, n // 2), (n // 3, n // 3)):
+            sets.append(np.r_[sets[0][gone:], draw.integers(0, 2**63, more).astype("<u8")])
+        sets = [np.unique(s) for s in sets]
+        like = lambda a, b: 10 * (both := len(np.intersect1d(a, b))) >= 8 * (len(a) + len(b) - both)
+        want = [any(k != j and like(a, b) for j, b in enumerate(sets)) for k, a in enumerate(sets)]
+        got = simhash_near.may_link([simhash_near.sketch(s).tobytes() for s in sets], np.array([len(s) for s in sets]), np.arange(len(sets)))
+        assert all(g or not w for g, w in zip(got, want, strict=True)) and (n < 400 or not got[4])
+
+
 def test_held_keys(spark, monkeypatch):
     """Of rare shingles of prefixes those that two texts hold, of common ones all, whatever the buckets."""
     draw = np.random.default_rng(14)
