@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import distinct_tokens, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Characters of a passage without inner tokens that carry the join.
+CHUNK = 12
 
 
 @dataclass(frozen=True)
@@ -97,12 +99,25 @@ def section_documents(paragraphs: DataFrame, text: Column, *, titled: bool = Fal
 def containing(docs: DataFrame, passages: DataFrame, *, folded: bool = False) -> DataFrame:
     """(query, corpus, doc) where a document contains a passage, upper and lower case alike if ``folded``. A passage's
     inner tokens must be tokens of the document; the rarest of them is the equality that carries the join, so that no
-    document is compared with a passage that it shares nothing rare with. Passages need three tokens."""
+    document is compared with a passage that it shares nothing rare with. Passages without an inner token (short ones,
+    those in other scripts) are joined by their first CHUNK characters instead, with those that begin at each place of
+    a document; shorter ones yet by all they have. Blank passages match nothing."""
     terms = docs.select("corpus", "doc", F.explode(distinct_tokens("text")).alias("term"))
     rarity = terms.groupBy("term").agg(F.count("*").alias("df"))
     w = tokens("text")
-    inner = passages.select("query", F.col("text").alias("passage"), F.explode(F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))).alias("term"))
+    split = passages.select("query", F.col("text").alias("passage"), F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))).alias("inner"))
+    inner = split.select("query", "passage", F.explode("inner").alias("term"))
     rare = inner.join(rarity, "term").groupBy("query").agg(F.min_by(F.struct("passage", "term"), F.struct("df", "term")).alias("r"))
     hits = rare.select("query", "r.passage", "r.term").join(terms, "term").join(docs.select("corpus", "doc", "text"), ["corpus", "doc"])
     plain = lambda c: F.lower(c) if folded else F.col(c)
-    return hits.where(F.contains(plain("text"), plain("passage"))).select("query", "corpus", "doc")
+    found = hits.where(F.contains(plain("text"), plain("passage"))).select("query", "corpus", "doc")
+    short = split.where((F.size("inner") == 0) & (F.trim("passage") != "")).select("query", plain("passage").alias("passage"))
+    short = short.withColumn("chunk", F.substring("passage", 1, CHUNK))
+    lengths = [r.n for r in short.select(F.length("chunk").alias("n")).distinct().collect()]  # CHUNK numbers at most
+    if not lengths:
+        return found
+    texts = docs.select("corpus", "doc", plain("text").alias("text"))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(n)))
+    starts = texts.select("corpus", "doc", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in lengths]))).alias("chunk"))
+    held = short.join(starts, "chunk").join(texts, ["corpus", "doc"]).where(F.contains("text", "passage"))
+    return found.unionByName(held.select("query", "corpus", "doc"))

@@ -239,3 +239,14 @@ def test_cited_list_of_every_nation(spark):
     sf = "/root/testdata/sf0.001"
     got = {(r.doc, r.n) for r in QUERIES["cited_list_fold"](spark, sf).groupBy("doc").agg(F.count("*").alias("n")).collect()}
     assert got == {(r.n_name, r.n) for r in _cited(spark, sf).groupBy("n_name").agg(F.count("*").alias("n")).collect()}
+
+
+def test_short_and_foreign_passages_are_contained(spark):
+    from stemmata.operators import bm25
+
+    docs = spark.createDataFrame([("a", 1, "the quick brown fox jumps"), ("a", 2, "Съешь ещё этих мягких французских булок, да выпей чаю"), ("b", 3, "x"), ("b", 4, None), ("b", 5, "")], "corpus string, doc long, text string")
+    asked = [(1, "quick brown"), (2, "этих мягких французских булок"), (3, "x"), (4, "brown fox jumps"), (5, " "), (6, ""), (7, None), (8, "QUICK"), (9, "этих мягких булок")]
+    passages = spark.createDataFrame(asked, "query long, text string")
+    want = sorted((q, d.doc) for q, t in asked for d in docs.collect() if t and t.strip() and t in (d.text or ""))
+    assert sorted((r.query, r.doc) for r in bm25.containing(docs, passages).collect()) == want
+    assert (8, 1) in [(r.query, r.doc) for r in bm25.containing(docs, passages, folded=True).collect()]
