@@ -68,6 +68,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop_scratch(spark, path)
 
 
+#: Spark hands rows to Python by number unless bytes are bounded too; rows that hold whole sets can be long.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What is planned inside hands Python batches of ``size`` at most, or single rows that are longer."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Deletes one scratch table whose readers have all been written out."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
