@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import materialise, text_or_empty
+from .common import in_python, materialise, text_or_empty
 
 FOLDS = 3
 HELD_OUT = 1
@@ -124,7 +124,7 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(train: DataFrame) -> Discriminant | None:
     """``train``: stats (array of doubles), label (0 or 1). None unless both classes have rows."""
     d = len(NAMES)
-    parts = train.select("stats", F.col("label").cast("int")).mapInPandas(_moments, "label int, k int, value double")
+    parts = in_python(train.select("stats", F.col("label").cast("int")), _moments, "label int, k int, value double")
     sums = np.zeros((2, 1 + d + d * d))
     for row in parts.groupBy("label", "k").agg(F.sum("value").alias("value")).collect():  # two classes' moments
         sums[row.label, row.k] = row.value
