@@ -97,6 +97,19 @@ def distinct_tokens(c: ColumnOrName) -> Column:
     return F.array_distinct(tokens(c))
 
 
+def query_tokens(name: ColumnOrName, apps: ColumnOrName, citation: ColumnOrName | None = None, *, citation_first: bool = False) -> Column:
+    """Tokens of a search for a case: name, application numbers (joined by "|") and citation, null ones left out.
+    ``citation_first`` puts the citation before the numbers. The order decides no score, only the order of tokens."""
+    numbers = F.replace(F.coalesce(col(apps), F.lit("")), F.lit("|"), F.lit(" "))
+    said = [] if citation is None else [col(citation)]
+    return tokens(F.concat_ws(" ", col(name), *([*said, numbers] if citation_first else [numbers, *said])))
+
+
+def marked_terms(terms: ColumnOrName, shortest: int = 4) -> Column:
+    """The terms long enough to be marked, without the space around them."""
+    return F.filter(F.transform(col(terms), lambda t: F.trim(t)), lambda t: F.length(t) >= shortest)
+
+
 def token_text(c: ColumnOrName) -> Column:
     return F.array_join(tokens(c), " ")
 

@@ -169,3 +169,20 @@ def paragraph_text(mode: str = "pre") -> Column:
 
 def list_column(c: str) -> Column:
     return parts(c, "|")
+
+
+def carried(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """``rows`` with just ``fields``, as text; "" for nulls and for columns that aren't there."""
+    return rows.select(*[(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit("")) if f in rows.columns else F.lit("")).alias(f) for f in fields])
+
+
+def with_subtype(rows: DataFrame, types: DataFrame, on: list[str], order: str, default: str = "unknown") -> DataFrame:
+    """Adds ``subtype`` from ``types`` (keys, subtype, ``order``), of repeated keys the last; ``default`` without any."""
+    last = types.groupBy(*on).agg(F.max_by("subtype", order).alias("subtype"))
+    return rows.join(last, on, "left").withColumn("subtype", F.coalesce("subtype", F.lit(default)))
+
+
+def labelled_union(positives: DataFrame, negatives: DataFrame) -> DataFrame:
+    """Both as rows with a label; a column that one of them lacks is null there."""
+    label = lambda df, v: df.withColumn("label", F.lit(v))
+    return label(positives, 1).unionByName(label(negatives, 0), allowMissingColumns=True)

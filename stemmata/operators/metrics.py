@@ -97,3 +97,26 @@ def value_counts(df: DataFrame, *cs: str) -> DataFrame:
 
 def agreement(a: Column, b: Column) -> Column:
     return F.avg(a.eqNullSafe(b).cast("double"))
+
+
+def means(df: DataFrame, by: list[str], values: list[str], *, said: str, places: int = 4) -> DataFrame:
+    """Per group the number of rows whose text ``said`` isn't empty and the means of ``values`` over those among them
+    that aren't null; 0 where all are."""
+    rows = df.where(F.coalesce(F.col(said), F.lit("")) != "")
+    found = [F.coalesce(F.round(F.avg(v), places), F.lit(0.0)).alias(v) for v in values]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *found)
+
+
+def base_rate(label: Column) -> Column:
+    """Aggregate: the share of positive labels."""
+    return F.avg(label.cast("double"))
+
+
+def gold_in_corpus_rate(gold: Column, held: Column, places: int = 4) -> Column:
+    """Aggregate: the share of rows of whose ``gold`` one at least is among those ``held``; null lists hold nothing."""
+    return F.round(F.avg(F.coalesce(F.arrays_overlap(gold, held), F.lit(False)).cast("double")), places)
+
+
+def total_length(*lists: Column) -> Column:
+    """Aggregate: how many elements the lists of all rows have; null lists have none."""
+    return F.sum(sum((F.coalesce(F.array_size(x), F.lit(0)) for x in lists), F.lit(0)))

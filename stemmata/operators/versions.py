@@ -153,3 +153,8 @@ def cited_lists(lines: DataFrame) -> DataFrame:
 
     folded_rows = list_lines(lines).withColumn("doc", F.col("doc").cast("string")).groupBy("doc").applyInPandas(fold, "doc string, pos long, raw string")
     return folded_rows.select("doc", "pos", folded("raw").alias("citation"))
+
+
+def menu(rows: DataFrame, title: str, value: str, order: str) -> DataFrame:
+    """Titles in order with the value that the last row of each has."""
+    return rows.groupBy(title).agg(F.max_by(value, order).alias(value)).orderBy(title)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as cite
 from ..functions.labels import blend, length_ratio, split_label
 from ..functions.similarity import alike_without_number, rouge_l
-from ..functions.text import judgment_sections, match_form
+from ..functions.text import judgment_sections, match_form, query_tokens
 from ..operators import audit, bm25, catalog, linking, mentions as body, metrics, paragraphs, ranking, sampling, versions
 from ..sources.documents import strip_tags
 from .sql import ORACLES  # noqa: F401
@@ -586,3 +586,61 @@ def name_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Comparison forms of names, by how many spellings share one."""
     rows = _cited(spark, sf).select(match_form(cite.case_name("citation")).alias("form"), "citation")
     return rows.groupBy("form").agg(F.count_distinct("citation").alias("spellings"))
+
+
+# --- rows of evaluations: customers and documents stand in for them -------------------------------------------------------
+
+
+@query
+def query_builders(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as cases: the three orders in which searches put name, application numbers and citation."""
+    rows = table(spark, sf, "customer").withColumn("apps", F.concat_ws("|", F.concat_ws("/", "c_custkey", "c_nationkey"), F.concat_ws("/", "c_nationkey", F.lit("01"))))
+    built = {
+        "apps_first": query_tokens("c_name", "apps", "c_mktsegment"), "citation_first": query_tokens("c_name", "apps", "c_mktsegment", citation_first=True),
+        "base": query_tokens("c_name", "apps"),
+    }
+    return rows.select("c_custkey", *[F.array_join(v, " ").alias(k) for k, v in built.items()])
+
+
+def _generated(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    types = labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("subtype"), F.col("quality").alias("order"))
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id", "left").withColumn("split", split_label("source", "src5"))
+    return linking.with_subtype(rows.withColumn("said", F.when(F.col("lang") == "en", F.col("text")).otherwise("")), types, ["doc_id"], "order")
+
+
+@query
+def subtype_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as generated texts, empty unless English; labels give the subtype where there are any."""
+    return metrics.means(_generated(spark, sf), ["split", "subtype"], ["quality", "n_chars"], said="said")
+
+
+@query
+def base_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents as positives and the others as negatives: rate, and words of both lists, by source."""
+    docs = table(spark, sf, "documents").select("source", "lang", F.split("text", " ").alias("words"))
+    rows = linking.labelled_union(docs.where("lang = 'en'"), docs.where("not coalesce(lang = 'en', false)").drop("lang"))
+    lists = metrics.total_length(F.col("words"), F.array(F.col("lang")))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.round(metrics.base_rate(F.col("label")), 6).alias("base_rate"), lists.alias("elements"))
+
+
+@query
+def gold_in_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's segment is gold; a nation's corpus holds the segments of its customers with over 9,000."""
+    rows = table(spark, sf, "customer")
+    held = rows.where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("held"))  # of few segments
+    rate = metrics.gold_in_corpus_rate(F.array("c_mktsegment"), F.col("held"))
+    return rows.join(held, "c_nationkey", "left").groupBy("c_nationkey").agg(F.count("*").alias("n"), rate.alias("rate"))
+
+
+@query
+def carried_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their labels, as text with "" for what is missing."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return linking.carried(rows, ["doc_id", "lang", "quality", "toxic", "importance"])
+
+
+@query
+def segment_menu(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments in order, each with its last customer."""
+    return versions.menu(table(spark, sf, "customer"), "c_mktsegment", "c_custkey", "c_custkey")

@@ -193,3 +193,14 @@ ORACLES: dict[str, str] = {
       SELECT source AS doc, citation, n, n || ' body mention(s) found on page(s): ' || array_to_string(ps[1:5], ', ') || CASE WHEN n > 5 THEN ', ...' ELSE '' END AS summary FROM g""",
 }
 ORACLES["edit_type_counts"] = f"""WITH e AS ({ORACLES['edit_type']}) SELECT edit_type, subtype, count(*) AS n, round(avg((edit_type = legacy_edit_type)::INT), 6) AS agreement FROM e GROUP BY ALL"""
+ORACLES |= {
+    "query_builders": """WITH c AS (SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g')) AS name, c_custkey || ' ' || c_nationkey || ' ' || c_nationkey || ' 01' AS apps, lower(c_mktsegment) AS said FROM customer)
+      SELECT c_custkey, name || ' ' || apps || ' ' || said AS apps_first, name || ' ' || said || ' ' || apps AS citation_first, name || ' ' || apps AS base FROM c""",
+    "subtype_means": """WITH r AS (SELECT CASE WHEN source >= 'src5' THEN 'test' ELSE 'dev' END AS split, CASE WHEN toxic IS NULL THEN 'unknown' WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS subtype, quality, n_chars
+      FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'en' AND text <> '')
+      SELECT split, subtype, count(*) AS n, coalesce(round(avg(quality), 4), 0) AS quality, coalesce(round(avg(n_chars), 4), 0) AS n_chars FROM r GROUP BY ALL""",
+    "base_rates": """SELECT source, count(*) AS n, round(avg(coalesce(lang = 'en', false)::INT), 6) AS base_rate, sum(len(string_split(text, ' ')) + 1)::BIGINT AS elements FROM documents GROUP BY source""",
+    "gold_in_corpus": """SELECT c_nationkey, count(*) AS n, round(avg((EXISTS (SELECT 1 FROM customer b WHERE b.c_acctbal > 9000 AND b.c_nationkey = a.c_nationkey AND b.c_mktsegment = a.c_mktsegment))::INT), 4) AS rate FROM customer a GROUP BY c_nationkey""",
+    "carried_rows": """SELECT doc_id::VARCHAR AS doc_id, coalesce(lang, '') AS lang, coalesce(quality::VARCHAR, '') AS quality, coalesce(toxic::VARCHAR, '') AS toxic, '' AS importance FROM documents LEFT JOIN labels USING (doc_id)""",
+    "segment_menu": """SELECT c_mktsegment, max(c_custkey) AS c_custkey FROM customer GROUP BY c_mktsegment""",
+}

@@ -192,6 +192,15 @@ def api_negatives(results: DataFrame) -> DataFrame:
     )
 
 
+# The document types that count as decisions.
+DOCTYPES = ("HEJUD", "HEDEC", "HFDEC", "HFJUD")
+
+
+def of_doctypes(results: DataFrame, doctypes: tuple[str, ...] = DOCTYPES) -> DataFrame:
+    """Rows of ``api_results`` or ``api_negatives`` that have one of the document types."""
+    return results.where(F.col("doctype").isin(*doctypes))
+
+
 def query_text(kind: str, *values: str) -> str:
     """Search expression for application numbers, a name or a window of days."""
     if kind == "apps":

@@ -113,3 +113,9 @@ def test_labels(spark):
     p = one(spark, "citation_refresh", lambda c: labels.prompt(row, F.col(c), F.lit("law")))
     assert "1/02, 3/04" in p and "old" in p and "law" not in p
     assert "law" in one(spark, "new_paragraph", lambda c: labels.prompt(row, F.col(c), F.lit("law")))
+
+
+def test_queries_and_marked_terms(spark):
+    row = spark.createDataFrame([("Doe v. X", "1/02|3/04", "§ 5", [" abcd ", "abc", None])], "n string, a string, c string, t array<string>")
+    got = row.select(text.query_tokens("n", "a", "c"), text.query_tokens("n", "a", "c", citation_first=True), text.query_tokens("n", F.lit(None)), text.marked_terms("t")).first()
+    assert list(got) == ["doe v x 1 02 3 04 5".split(), "doe v x 5 1 02 3 04".split(), ["doe", "v", "x"], ["abcd"]]

@@ -250,3 +250,17 @@ def test_short_and_foreign_passages_are_contained(spark):
     want = sorted((q, d.doc) for q, t in asked for d in docs.collect() if t and t.strip() and t in (d.text or ""))
     assert sorted((r.query, r.doc) for r in bm25.containing(docs, passages).collect()) == want
     assert (8, 1) in [(r.query, r.doc) for r in bm25.containing(docs, passages, folded=True).collect()]
+
+
+def test_evaluation_rows(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 1.0), (1, "b", "y", None), (2, "", "z", 5.0), (3, "d", "w", None)], "k int, said string, note string, v double")
+    types = spark.createDataFrame([(1, 1, "old"), (1, 2, "new"), (2, 1, "lost")], "k int, at int, subtype string")
+    typed = linking.with_subtype(rows, types, ["k"], "at")
+    assert {(r.k, r.subtype) for r in typed.collect()} == {(1, "new"), (2, "lost"), (3, "unknown")}
+    assert sorted(tuple(r) for r in metrics.means(typed, ["subtype"], ["v"], said="said").collect()) == [("new", 2, 1.0), ("unknown", 1, 0.0)]
+    assert sorted(tuple(r) for r in linking.carried(rows, ["k", "v", "none"]).collect()) == [("1", "", ""), ("1", "1.0", ""), ("2", "5.0", ""), ("3", "", "")]
+    both = linking.labelled_union(rows.select("k"), rows.select("k", "note"))
+    assert both.agg(metrics.base_rate(F.col("label"))).first()[0] == 0.5 and both.where("label = 1 and note is null").count() == 4
+    lists = spark.createDataFrame([([1, 2], [2]), ([3], [4, 5]), (None, [1])], "a array<int>, b array<int>")
+    assert tuple(lists.agg(metrics.gold_in_corpus_rate(F.col("a"), F.col("b")), metrics.total_length(F.col("a"), F.col("b"))).first()) == (0.3333, 7)
+    assert [tuple(r) for r in versions.menu(rows, "k", "note", "note").collect()] == [(1, "y"), (2, "z"), (3, "w")]

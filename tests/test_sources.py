@@ -68,6 +68,8 @@ def test_fetching(spark):
     body = '{"results": [{"columns": {"itemid": "1", "appno": "1/02;3/04", "kpdate": "2020-01-05T00:00:00", "docname": "CASE OF A v. B"}}]}'
     row = documents.api_negatives(documents.api_results(spark.createDataFrame([(body,)], "body string"))).first()
     assert (row.case_name, row.apps, row.year) == ("A v. B", ["1/02", "3/04"], "2020")
+    kinds = spark.createDataFrame([("HEJUD",), ("HFDEC",), ("CLIN",), ("",), (None,)], "doctype string")
+    assert [r.doctype for r in documents.of_doctypes(kinds).collect()] == ["HEJUD", "HFDEC"]
 
 
 def test_version_dates(spark):
