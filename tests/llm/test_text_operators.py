@@ -242,3 +242,15 @@ def test_fit_against_plain_moments(spark):
         assert np.allclose(model.means[c], x[c].mean(axis=0)) and np.allclose(model.factors[c] @ model.factors[c].T, shrunk)
         assert np.allclose(model.inverses[c] @ model.factors[c], np.eye(d))
         assert model.constants[c] == pytest.approx(np.log(len(x[c]) / total) - 0.5 * np.linalg.slogdet(shrunk)[1])
+
+
+def test_tasks_hand_memory_back(spark):
+    from stemmata.llm.common import hand_back, in_python
+
+    def doubled(batches):
+        for batch in batches:
+            yield batch * 2
+
+    assert sorted(r.id for r in in_python(spark.range(5), doubled, "id long").collect()) == [0, 2, 4, 6, 8]
+    assert in_python(spark.range(0), doubled, "id long").count() == 0
+    hand_back()
