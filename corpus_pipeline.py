@@ -23,7 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) one stays."""
+    """Of each group of near duplicates (five-word shingles, similarity of 0.8 or more) one stays: SimHash fingerprints
+    by multi-index hashing, an exact check on the shingles, and an exact way for links that fingerprints don't show."""
     return simhash_near.one_of_each_class(docs)
 
 

@@ -45,20 +45,18 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [digest(flat[a:b], 42) for a, b in zip(starts, ends, strict=True)]
 
 
-def bit_counts(text: bytes, width: int) -> tuple[np.ndarray, int]:
-    """For each of 64 bits the number of shingles that set it, and the number of shingles."""
-    hashes = shingle_hashes(text, width)
+def fingerprint_of(hashes: list[int] | np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes, as a signed 64-bit number."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), BLOCK):
         block = np.array(hashes[k : k + BLOCK], "<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return counts, len(hashes)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    counts, n = bit_counts(text or b"", width)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    """The fingerprint of a text, as a signed 64-bit number."""
+    return fingerprint_of(shingle_hashes(text or b"", width))
 
 
 def fingerprint_column(text: Column, width: int = 3) -> Column:

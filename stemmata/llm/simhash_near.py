@@ -1,17 +1,24 @@
-"""Near-dedup of texts at a similarity (the form of operator 9 that the pipeline uses).
+"""SimHash near-dedup of texts at a similarity (the form of operator 9 that the pipeline uses).
 
 Two texts link if the Jaccard similarity of their sets of five-word shingles is LIKE_OF_TEN tenths or more. Links are
 complete and exact: no candidate is missed, and each is decided on the full sets of 64-bit shingle hashes.
 
-Candidates come from prefixes. Put the shingles of every set in one order that all sets share; two sets of similarity
+SimHash comes first, by the multi-index hashing of operator 9 (``simhash_dedup.links``): every set has a 64-bit
+fingerprint, fingerprints of 2 or fewer differing bits are linked, all of them, and the texts of a component of
+fingerprints are one group, whose links are then decided on the sets. The fingerprint is of the distinct shingles, so
+that equal sets have equal ones and a passage that is repeated weighs no more than others.
+
+Sets of similarity 0.8 mostly differ in more bits than 2. These links are found, without loss, by what follows; it
+takes the components that SimHash left and looks only at texts of different ones. Its candidates come from prefixes. Put the shingles of every set in one order that all sets share; two sets of similarity
 0.8 or more then have a shingle in common among the first n - ceil(0.8 n) + 1 of each, n being its size. That holds for
 any order and any number of texts. The order puts shingles that a sample of texts shows to be common last, so that
 stock lines bring few texts together; the sample decides how much is compared and never what is found.
 
-Before that a cheaper step brings together texts by BANDS of smallest hashes. It may miss links, and only serves to
+Between the two a cheaper step brings together texts by BANDS of smallest hashes. It may miss links, and only serves to
 join most members of large groups: the round over prefixes then looks only at shingles that texts of different
-components share, which loses no link between components. A group of any size is worked off in blocks of BLOCK_ROWS
-members, each by itself; then a few members of each component that came out stand for it in the next turn.
+components share, which loses no link between components. In both steps before the prefixes a group of any size is
+worked off in blocks of BLOCK_ROWS members, each by itself; then a few members of each component that came out stand
+for it in the next turn. A link that blocks don't show is left to the prefixes.
 
 Most shingles of prefixes are in one text only. So that these cost little, the prefixes' shingles, but for the common
 ones, are dealt as arrays into buckets of half a million, and only those that two texts hold become
@@ -48,7 +55,7 @@ from pyspark.sql import functions as F
 from .common import in_python, lookup, materialise, scratch, small_batches, text_or_empty
 from .components import components
 from .exact_dedup import one_of_each
-from .simhash_dedup import shingle_hashes
+from .simhash_dedup import fingerprint_of, links, shingle_hashes
 
 WIDTH = 5
 LIKE_OF_TEN = 8
@@ -57,7 +64,7 @@ BLOCK_ROWS = 2048
 MOST_BLOCKS = 16
 #: Members that stand for their component in a group.
 STAND_INS = 16
-#: Turns of the step before the round over prefixes; each makes groups smaller by BLOCK_ROWS / STAND_INS.
+#: Turns of each step before the round over prefixes; each makes groups smaller by BLOCK_ROWS / STAND_INS.
 TURNS = 5
 #: Texts in the sample that the order comes from, the count there from which a shingle is common, and how many are told.
 SAMPLE, COMMON, MOST_COMMON = 10_000, 4, 200_000
@@ -98,9 +105,11 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [shingle_set(bytes(t)).tobytes() for t in batch["text"]]
+        sets = [shingle_set(bytes(t)) for t in batch["text"]]
+        simhash = np.array([fingerprint_of(s) for s in sets], "<i8")
+        sets = [s.tobytes() for s in sets]
         digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "sha": batch["sha"], "fp": digests, "shingles": sets})
+        yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "sha": batch["sha"], "fp": digests, "simhash": simhash, "shingles": sets})
 
 
 def _keys(of):
@@ -402,11 +411,20 @@ def near_links(members: DataFrame, sets: DataFrame, pairs: bool = True) -> DataF
     return materialise(edges, "edges")
 
 
-def gathered(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the ``nodes`` that link to another of those which share one of their bands, as far as blocks
-    show it."""
-    made = materialise(in_python(sets, _keys(bands), "node long, keys array<long>").join(nodes, "node", "left_semi"), "bands")
-    roots = sets.sparkSession.createDataFrame([], "node long, root long")
+def simhash_keys(nodes: DataFrame) -> DataFrame:
+    """From rows (node, simhash) to rows (node, keys): the component of the node's fingerprint under links of 2 bits or
+    fewer, for those whose component has other nodes."""
+    prints = materialise(nodes.groupBy("simhash").agg(F.count("*").alias("rows")), "prints")
+    roots = components(links(prints.select(F.col("simhash").alias("fp"))))
+    rooted = prints.join(roots.select(F.col("node").alias("simhash"), "root"), "simhash", "left").withColumn("root", F.coalesce("root", "simhash"))
+    several = rooted.groupBy("root").agg(F.sum("rows").alias("all")).where("all > 1").select("root")
+    classes = materialise(rooted.join(several, "root").select("simhash", "rows", "root"), "print-classes")
+    return lookup(nodes, classes, "simhash", "rows", nodes.count()).select("node", F.array("root").alias("keys"))
+
+
+def gathered(made: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that ``roots`` (node, root) joins, or that link to another with which they share one of
+    the ``keys`` in ``made`` (node, keys), as far as blocks show it."""
     edges = roots.toDF("u", "v")
     for turn in range(TURNS):
         rooted = made.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
@@ -424,6 +442,18 @@ def gathered(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return roots
 
 
+def simhash_roots(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of the ``nodes`` (node, simhash) that link to another whose fingerprint is near, by multi-index hashing."""
+    none = sets.sparkSession.createDataFrame([], "node long, root long")
+    return gathered(materialise(simhash_keys(nodes), "simhash-keys"), sets, none)
+
+
+def banded_roots(nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """``roots`` with what links by a band joined too."""
+    made = in_python(sets, _keys(bands), "node long, keys array<long>").join(nodes, "node", "left_semi")
+    return gathered(materialise(made, "bands"), sets, roots)
+
+
 def narrowed(members: DataFrame, sets: DataFrame, told) -> DataFrame:
     """``members`` with groups of two keys in place of those that are over MOST_BLOCKS blocks."""
     wide = members.groupBy("key").count().where(F.col("count") > BLOCK_ROWS * MOST_BLOCKS).select("key")
@@ -436,11 +466,14 @@ def narrowed(members: DataFrame, sets: DataFrame, told) -> DataFrame:
 
 
 def near_components(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of the ``nodes`` that link to another. ``sets``: node, shingles; those of ``nodes`` count."""
+    """(node, root) of the ``nodes`` (node, simhash) that link to another. ``sets``: node, shingles; those of ``nodes``
+    count."""
     spark = sets.sparkSession
     told = spark.sparkContext.broadcast(common_shingles(sets, sets.count()))
     with scratch(spark):
-        first = materialise(gathered(nodes, sets), "first", lasting=True)
+        near = materialise(simhash_roots(nodes, sets), "near", lasting=True)
+    with scratch(spark):
+        first = materialise(banded_roots(nodes, sets, near), "first", lasting=True)
     with scratch(spark):
         rooted = nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
         own = materialise(materialise(held_keys(sets, told), "keys").join(rooted, "node"), "rooted-keys")
@@ -453,20 +486,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     text_sha256."""
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), text.cast("binary").alias("text"))
-    made = in_python(rows, _sets, "doc_id long, sha string, fp binary, shingles binary")
+    made = in_python(rows, _sets, "doc_id long, sha string, fp binary, simhash long, shingles binary")
     with scratch(docs.sparkSession), small_batches(docs.sparkSession):
         return materialise(_classes(made), "near", lasting=True)
 
 
 def _classes(made: DataFrame) -> DataFrame:
     held = materialise(made.withColumn("row_key", F.monotonically_increasing_id()), "sets")
-    fps = held.groupBy("fp").agg(F.min("row_key").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    fps = held.groupBy("fp").agg(F.min("row_key").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min("simhash").alias("simhash"))  # equal sets have one
     fps = materialise(fps, "fps")
-    roots = near_components(fps.select("node"), held.select(F.col("row_key").alias("node"), "shingles"))
+    roots = near_components(fps.select("node", "simhash"), held.select(F.col("row_key").alias("node"), "shingles"))
     rooted = fps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     final = materialise(rooted.join(least, "root").select("fp", "root", "rows", "component_id"), "classes")
-    narrow = held.drop("shingles")
+    narrow = held.drop("simhash", "shingles")
     found = materialise(lookup(narrow, final, "fp", "rows", narrow.count()).select("row_key", "doc_id", "sha", "root", "component_id"), "found")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_key").alias("row_key"), F.lit(True).alias("first"))
     return found.join(first.select("row_key", "first"), "row_key", "left").select("doc_id", "component_id", F.coalesce("first", F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"))
