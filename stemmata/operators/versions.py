@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import APPLICATION, application_key, last_year, simple_case_name
@@ -109,19 +109,49 @@ COMPLETE = (
 PROSE = ("The ", "Guide ", "European ")
 
 
+#: Line numbers are dealt in cells of this width, so that no window holds more of a list than that.
+CELL = 1 << 16
+
+
+def _cell() -> Column:
+    return F.floor(F.col("line_no") / CELL)
+
+
 def list_lines(lines: DataFrame) -> DataFrame:
-    """Lines of cited-case lists without noise, with the next line. ``lines``: doc, line_no, text. The list begins at
-    the first divider after the first header."""
+    """Lines of cited-case lists without noise, with the next line and the cell of their number. ``lines``: doc,
+    line_no, text. The list begins at the first divider after the first header. The next line that is filled is looked
+    for within a line's cell, then among the first filled lines of the cells after it."""
     t = F.trim("text")
     header = lines.where(F.contains("text", F.lit(LIST_HEADER))).groupBy("doc").agg(F.min("line_no").alias("header"))
-    divider = lines.join(header, "doc").where((F.col("line_no") >= F.col("header")) & t.rlike(DIVIDER)).groupBy("doc").agg(F.min("line_no").alias("start"))
+    divider = lines.where(t.rlike(DIVIDER)).join(header, "doc").where(F.col("line_no") >= F.col("header")).groupBy("doc").agg(F.min("line_no").alias("start"))
     noise = t.isin("", LIST_HEADER) | t.rlike(DIVIDER) | t.rlike(COUNTER) | t.rlike(GUIDE_HEADER)
     noise = noise | t.startswith("European Court of Human Rights") | t.startswith("Updated:") | t.startswith("Last update:")
     for phrase in NOISE:
         noise = noise | F.contains(t, F.lit(phrase))
-    rest = Window.partitionBy("doc").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    body = lines.join(divider, "doc").where(F.col("line_no") >= F.col("start")).select("doc", "line_no", t.alias("text"))
-    return body.withColumn("next_line", F.first(F.nullif("text", F.lit("")), ignorenulls=True).over(rest)).where(~noise)
+    body = lines.join(divider, "doc").where(F.col("line_no") >= F.col("start")).select("doc", "line_no", t.alias("text"), _cell().alias("cell"))
+    filled = F.nullif("text", F.lit(""))
+    # From the end on, since Spark works a frame that ends with the list out anew for every row.
+    back = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = body.groupBy("doc", "cell").agg(F.min_by(filled, F.when(filled.isNotNull(), F.col("line_no"))).alias("_first"))
+    after = first.select("doc", "cell", F.last("_first", ignorenulls=True).over(back("doc").orderBy(F.desc("cell"))).alias("_after"))
+    within = F.last(filled, ignorenulls=True).over(back("doc", "cell").orderBy(F.desc("line_no")))
+    placed = body.withColumn("_within", within).join(after, ["doc", "cell"])
+    return placed.select("doc", "line_no", "text", "cell", F.coalesce("_within", "_after").alias("next_line")).where(~noise)
+
+
+def _running(rows: DataFrame, count: Column, name: str) -> DataFrame:
+    """Adds ``name``: how many of a document's rows up to this one ``count``, by cells and then within the cell."""
+    counted = F.sum(count.cast("long"))
+    before = Window.partitionBy("doc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("doc", "cell").agg(counted.alias("_n"))
+    offsets = per.select("doc", "cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    upto = Window.partitionBy("doc", "cell").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_local", counted.over(upto)).join(offsets, ["doc", "cell"]).withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset")
+
+
+def opens_always(text: Column) -> Column:
+    """Whether a line opens a citation whatever stands before and after it."""
+    return text.startswith("Advisory opinion") | text.startswith("Case ") | (text.rlike(CAPITAL) & (F.contains(text, F.lit(" v. ")) | F.contains(text, F.lit(" c. "))))
 
 
 def starts_citation(line: str, current: str | None, following: str | None) -> bool:
@@ -137,22 +167,38 @@ def starts_citation(line: str, current: str | None, following: str | None) -> bo
     return "," in line or bool(following and following.startswith(("v. ", "c. ")))
 
 
+def _fold(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Citations of runs of lines that come in order; the one that is open is carried over from batch to batch."""
+    run, pieces, began = None, [], None
+    for frame in batches:
+        done: list[tuple] = []
+        for row in frame.itertuples(index=False):
+            if (row.doc, row.run) != run:
+                opens = True  # the first line of a run opens a citation always
+            else:
+                if len(pieces) > 1:
+                    pieces = [" ".join(pieces)]
+                opens = starts_citation(row.text, pieces[0], row.next_line)
+            if opens:
+                if pieces:
+                    done.append((run[0], began, pieces[0] if len(pieces) == 1 else " ".join(pieces)))
+                run, pieces, began = (row.doc, row.run), [row.text], row.line_no
+            else:
+                pieces.append(row.text)
+        yield pd.DataFrame(done, columns=["doc", "line_no", "raw"])
+    if pieces:
+        yield pd.DataFrame([(run[0], began, " ".join(pieces))], columns=["doc", "line_no", "raw"])
+
+
 def cited_lists(lines: DataFrame) -> DataFrame:
     """Citations of each document in list order: (doc, pos, citation). Whether a line opens a citation depends on the
-    one open so far, so a document's lines are folded in order; a document is one list, which bounds the group."""
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        entries: list[str] = []
-        for row in frame.sort_values("line_no").itertuples():
-            if starts_citation(row.text, entries[-1] if entries else None, row.next_line):
-                entries.append(row.text)
-            elif entries:
-                entries[-1] = f"{entries[-1]} {row.text}"
-        out = pd.DataFrame({"doc": [frame["doc"].iloc[0]] * len(entries), "pos": range(len(entries)), "raw": entries})
-        return out.astype({"doc": "object", "raw": "object"})
-
-    folded_rows = list_lines(lines).withColumn("doc", F.col("doc").cast("string")).groupBy("doc").applyInPandas(fold, "doc string, pos long, raw string")
-    return folded_rows.select("doc", "pos", folded("raw").alias("citation"))
+    one open so far, but some lines open one always, and those cut a list into runs that don't depend on each other:
+    they are folded in parallel, a line at a time. Lines before the first run belong to no citation."""
+    rows = _running(list_lines(lines.withColumn("doc", F.col("doc").cast("string"))), opens_always(F.col("text")), "run").where("run > 0")
+    dealt = rows.select("doc", "run", F.col("line_no").cast("long").alias("line_no"), "text", "next_line").repartition("doc", "run")
+    entries = dealt.sortWithinPartitions("doc", "run", "line_no").mapInPandas(_fold, "doc string, line_no long, raw string")
+    placed = _running(entries.withColumn("cell", _cell()).repartition("doc", "cell"), F.lit(1), "_upto")
+    return placed.select("doc", (F.col("_upto") - 1).alias("pos"), folded("raw").alias("citation"))
 
 
 def menu(rows: DataFrame, title: str, value: str, order: str) -> DataFrame:
