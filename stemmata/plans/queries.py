@@ -539,11 +539,13 @@ def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
     """Part names of one brand that mean the same but for spelling. A similarity of 0.93 leaves at most 7 in 100 of both
     forms' characters unmatched, so no pair with a larger edit distance is lost by not comparing it further."""
     parts = table(spark, sf, "part").select("p_brand", F.concat_ws(" ", "p_name", "p_type").alias("name"), "p_partkey")
-    parts = parts.withColumn("form", match_form(cite.simple_case_name("name")))
-    both = parts.alias("a").join(parts.alias("b"), "p_brand").where("a.p_partkey < b.p_partkey")
-    both = both.where("100 * levenshtein(a.form, b.form) <= 7 * (length(a.form) + length(b.form)) + 1e-6")
-    kept = both.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.col("a.name").alias("x"), F.col("b.name").alias("y"))
-    return kept.where(alike_without_number("x", "y")).select("a", "b")
+    names = parts.select("p_brand", "name").distinct().withColumn("form", match_form(cite.simple_case_name("name")))
+    # Different names are compared once, either way round since similarity isn't symmetric; parts of a name share the answer.
+    both = names.alias("a").join(names.alias("b"), "p_brand").select("p_brand", F.col("a.name").alias("x"), F.col("b.name").alias("y"), F.col("a.form").alias("p"), F.col("b.form").alias("q"))
+    close = both.where("100 * levenshtein(p, q) <= 7 * (length(p) + length(q)) + 1e-6").select("p_brand", "x", "y")
+    alike = close.where(alike_without_number("x", "y"))
+    side = lambda key, name: parts.select("p_brand", F.col("name").alias(name), F.col("p_partkey").alias(key))
+    return side("a", "x").join(alike, ["p_brand", "x"]).join(side("b", "y"), ["p_brand", "y"]).where("a < b").select("a", "b")
 
 
 @query

@@ -1,6 +1,9 @@
 """Steps whose work once grew faster than their input: results against plain ways, and what the plans must not hold."""
 
+from itertools import product
+
 from stemmata.operators import versions
+from stemmata.plans.queries import QUERIES
 
 
 def plan(df) -> str:
@@ -34,3 +37,17 @@ def test_lists_over_many_cells(spark):
         got[r.doc].append(r.citation)
     assert got == folded_plainly(lines) and len(got["d"]) > 10
     assert "unboundedfollowing" not in plan(df).lower()  # such a frame is worked out anew for every row
+
+
+def test_names_are_compared_once(spark, tmp_path):
+    from stemmata.functions.similarity import alike_without_number
+
+    names = ["large green bolt and washer LARGE", "large green bolt and washers LARGE", "large green bolt and washer LARGE", "old ring", ", none", ""]
+    rows = [(k, f"Brand#{k % 2}", names[k % 6].rpartition(" ")[0], names[k % 6].rpartition(" ")[2]) for k in range(48)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["fuzzy_match"](spark, str(tmp_path))
+    pairs = [(a[0], b[0], f"{a[2]} {a[3]}", f"{b[2]} {b[3]}") for a, b in product(rows, rows) if a[0] < b[0] and a[1] == b[1]]
+    want = spark.createDataFrame(pairs, "a long, b long, x string, y string").where(alike_without_number("x", "y"))
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((r.a, r.b) for r in want.collect())
+    compared = plan(found).split("levenshtein")[1]
+    assert compared.count("Aggregate [p_brand") == 2  # names, not parts, meet
