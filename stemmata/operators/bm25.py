@@ -16,6 +16,8 @@ from ..functions.text import distinct_tokens, tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Characters of a passage without inner tokens that carry the join.
 CHUNK = 12
+#: Passages that are sent to every task at most, with their words.
+FEW = 20_000
 
 
 @dataclass(frozen=True)
@@ -28,9 +30,10 @@ class Index:
 
 
 def index(docs: DataFrame, *, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Index:
-    """``docs``: corpus, doc, text. A negative idf becomes ``epsilon`` times the corpus's mean idf over its terms."""
+    """``docs``: corpus, doc, text. A negative idf becomes ``epsilon`` times the corpus's mean idf over its terms.
+    A null text is a document without terms that the mean length leaves out."""
     split = docs.select("corpus", "doc", tokens("text").alias("w"))
-    sized = split.select("corpus", "doc", F.size("w").alias("length"))
+    sized = docs.select("corpus", "doc", F.when(F.col("text").isNotNull(), F.size(tokens("text"))).alias("length"))
     postings = split.select("corpus", "doc", F.explode("w").alias("term")).groupBy("corpus", "term", "doc").agg(F.count("*").alias("tf"))
     corpora = sized.groupBy("corpus").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     terms = postings.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(corpora, "corpus")
@@ -74,6 +77,13 @@ def scores(terms: DataFrame, index: Index, *, zeros: bool = True, places: int |
     return every.join(hits, ["query", "corpus", "doc"], "left").select("query", "corpus", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def matches(terms: DataFrame, index: Index, places: int = 9) -> DataFrame:
+    """(query, corpus, doc, score, matched): ``matched`` is how many of the query's distinct terms a document has."""
+    on = [c for c in ("corpus", "term") if c in terms.columns]
+    total = F.round(F.sum(F.col("qtf") * F.col("weight")), places)
+    return terms.join(index.weights, on).groupBy("query", "corpus", "doc").agg(total.alias("score"), F.count("*").alias("matched"))
+
+
 def max_scores(queries: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
     """Each query's largest score over its corpus, 0 without hits or corpus."""
     best = scores(terms, index).groupBy("query", "corpus").agg(F.max("score").alias("score"))
@@ -103,12 +113,18 @@ def containing(docs: DataFrame, passages: DataFrame, *, folded: bool = False) ->
     those in other scripts) are joined by their first CHUNK characters instead, with those that begin at each place of
     a document; shorter ones yet by all they have. Blank passages match nothing."""
     terms = docs.select("corpus", "doc", F.explode(distinct_tokens("text")).alias("term"))
-    rarity = terms.groupBy("term").agg(F.count("*").alias("df"))
     w = tokens("text")
     split = passages.select("query", F.col("text").alias("passage"), F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))).alias("inner"))
     inner = split.select("query", "passage", F.explode("inner").alias("term"))
+    few = passages.limit(FEW + 1).count() <= FEW
+    held = F.broadcast if few else (lambda df: df)
+    rarity = terms.join(held(inner.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     rare = inner.join(rarity, "term").groupBy("query").agg(F.min_by(F.struct("passage", "term"), F.struct("df", "term")).alias("r"))
-    hits = rare.select("query", "r.passage", "r.term").join(terms, "term").join(docs.select("corpus", "doc", "text"), ["corpus", "doc"])
+    rare = rare.select("query", "r.passage", "r.term")
+    if few:  # one row a passage; the texts stay where they are
+        hits = docs.select("corpus", "doc", "text", F.explode(distinct_tokens("text")).alias("term")).join(F.broadcast(rare), "term")
+    else:
+        hits = rare.join(terms, "term").join(docs.select("corpus", "doc", "text"), ["corpus", "doc"])
     plain = lambda c: F.lower(c) if folded else F.col(c)
     found = hits.where(F.contains(plain("text"), plain("passage"))).select("query", "corpus", "doc")
     short = split.where((F.size("inner") == 0) & (F.trim("passage") != "")).select("query", plain("passage").alias("passage"))

@@ -14,7 +14,7 @@ from ..functions import citations as cite
 from ..functions.labels import blend, length_ratio, split_label
 from ..functions.similarity import alike_without_number, rouge_l
 from ..functions.text import judgment_sections, match_form, query_tokens
-from ..operators import audit, bm25, catalog, linking, mentions as body, metrics, paragraphs, ranking, sampling, versions
+from ..operators import audit, bm25, bm25_scan, catalog, linking, mentions as body, metrics, paragraphs, ranking, sampling, versions
 from ..sources.documents import strip_tags
 from .sql import ORACLES  # noqa: F401
 
@@ -46,6 +46,29 @@ def _scored(spark: SparkSession, sf: str, distinct: bool = False) -> DataFrame:
     return bm25.scores(bm25.query_terms(_passages(spark, sf), distinct=distinct), bm25.index(_corpora(spark, sf)), zeros=False)
 
 
+def _leading(spark: SparkSession, sf: str, top: int, **how) -> DataFrame:
+    """Scored rows among which are the ``top`` ones of every passage and corpus; all rows if passages are too many to be held."""
+    docs, terms = _corpora(spark, sf), bm25.query_terms(_passages(spark, sf))
+    model = bm25_scan.learned(docs, terms)
+    return bm25.matches(terms, bm25.index(docs)) if model is None else bm25_scan.leading(docs, model, top, **how)
+
+
+def _first_ranks(spark: SparkSession, sf: str, *distinct: bool) -> list[DataFrame]:
+    """(query, corpus, rank) of the first section that contains the passage, if any is ranked; for passages as they are or with distinct terms."""
+    docs, passages = _corpora(spark, sf), _passages(spark, sf)
+    gold = bm25.containing(docs, passages)
+    model = bm25_scan.learned(docs, bm25.query_terms(passages))
+    if model is not None:
+        gold = gold.persist()  # used up when the ranks are stated: the best of its rows are known by then
+        try:
+            return [bm25_scan.first_ranks(docs, model.distinct() if d else model, gold) for d in distinct]
+        finally:
+            gold.unpersist()
+    index = bm25.index(docs)
+    ranked = [ranking.by_score(bm25.scores(bm25.query_terms(passages, distinct=d), index, zeros=False)) for d in distinct]
+    return [r.join(gold, ["query", "corpus", "doc"]).groupBy("query", "corpus").agg(F.min("rank").cast("long").alias("rank")) for r in ranked]
+
+
 def _named(df: DataFrame, *more: str) -> DataFrame:
     score = [F.round("score", 6).alias("score")] if "score" in df.columns else []
     return df.select(F.col("query").alias("item_id"), F.col("corpus").alias("source"), F.col("doc").alias("doc_id"), *score, *more)
@@ -99,11 +122,7 @@ def two_stage_rank(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def boosted_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Sections ranked by how many of the passage's distinct terms they have, then by score."""
-    terms = bm25.query_terms(_passages(spark, sf))
-    index = bm25.index(_corpora(spark, sf))
-    matched = terms.join(index.weights, "term").groupBy("query", "corpus", "doc").agg(
-        F.count("*").alias("matched"), F.round(F.sum(F.col("qtf") * F.col("weight")), 9).alias("score")
-    )
+    matched = _leading(spark, sf, 5, order=("matched", "score"), by_corpus=False)
     return _named(ranking.boosted(matched, "matched", group=("query",), top=5), "matched", "rank")
 
 

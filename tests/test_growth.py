@@ -1,8 +1,11 @@
 """Steps whose work once grew faster than their input: results against plain ways, and what the plans must not hold."""
 
+import random
 from itertools import product
 
-from stemmata.operators import versions
+from pyspark.sql import functions as F
+
+from stemmata.operators import bm25, bm25_scan, ranking, versions
 from stemmata.plans.queries import QUERIES
 
 
@@ -51,3 +54,53 @@ def test_names_are_compared_once(spark, tmp_path):
     assert sorted((r.a, r.b) for r in found.collect()) == sorted((r.a, r.b) for r in want.collect())
     compared = plan(found).split("levenshtein")[1]
     assert compared.count("Aggregate [p_brand") == 2  # names, not parts, meet
+
+
+def corpus_and_queries(spark):
+    draw = random.Random(7)
+    said = "a b c d e f g Ab aB \u0130x \u212aelvin \u00e9t\u00e9 x1 1".split()
+    docs = [("cd"[k % 3 == 0], k, " ".join(draw.choices(said, k=draw.randrange(1, 30)))) for k in range(60)]
+    docs += [("c", k + 100, docs[k][2]) for k in range(20)] + [("c", 200, None), ("d", 201, ""), (None, 202, "a b"), ("d", None, "a b c")]
+    asked = [(1, "a b b g"), (2, "ab x1, kelvin"), (3, "unknown"), (4, "\u0130x 1"), (5, docs[1][2]), (6, docs[2][2][1:-1])]
+    return spark.createDataFrame(docs, "corpus string, doc long, text string"), spark.createDataFrame(asked, "query long, text string")
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+
+
+def test_scan_scores_like_the_index(spark, monkeypatch):
+    docs, asked = corpus_and_queries(spark)
+    gold, index = bm25.containing(docs, asked), bm25.index(docs)
+    for distinct in (False, True):
+        terms = bm25.query_terms(asked, distinct=distinct)
+        model = bm25_scan.learned(docs, bm25.query_terms(asked))
+        model, want = model.distinct() if distinct else model, bm25.matches(terms, index)
+        for cells, count in ((1 << 18, 500_000), (7, 3)):
+            monkeypatch.setattr(bm25_scan, "CELLS", cells)
+            monkeypatch.setattr(bm25_scan, "COUNTS", count)
+            every = ["query", "corpus", "doc", "score", "matched"]
+            assert rows_of(bm25_scan.scored(docs, model), *every) == rows_of(want, *every)
+            few = bm25_scan.leading(docs.repartition(3), model, 2)
+            assert rows_of(ranking.by_score(few, top=2), *every, "rank") == rows_of(ranking.by_score(want, top=2), *every, "rank")
+            few = bm25_scan.leading(docs, model, 3, order=("matched", "score"), by_corpus=False)
+            assert rows_of(ranking.boosted(few, "matched", group=("query",), top=3), *every, "rank") == rows_of(ranking.boosted(want, "matched", group=("query",), top=3), *every, "rank")
+            firsts = ranking.by_score(want).join(gold, ["query", "corpus", "doc"]).groupBy("query", "corpus").agg(F.min("rank").alias("rank"))
+            got = rows_of(bm25_scan.first_ranks(docs.repartition(3), model, gold), "query", "corpus", "rank")
+            assert got == rows_of(firsts, "query", "corpus", "rank") and len(got) > 1
+    physical = bm25_scan.leading(docs, model, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in physical  # neither postings nor scores are shuffled
+    monkeypatch.setattr(bm25_scan, "HELD", 3)
+    assert bm25_scan.learned(docs, bm25.query_terms(asked)) is None
+
+
+def test_retrieval_sends_no_postings(spark):
+    for name in ("bm25_section_topk", "bm25_max_score", "two_stage_rank", "boosted_rank"):
+        assert "explode" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_containing_with_many_passages(spark, monkeypatch):
+    docs, asked = corpus_and_queries(spark)
+    want = rows_of(bm25.containing(docs, asked), "query", "corpus", "doc")
+    monkeypatch.setattr(bm25, "FEW", 2)
+    assert rows_of(bm25.containing(docs, asked), "query", "corpus", "doc") == want
