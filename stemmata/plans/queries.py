@@ -112,7 +112,7 @@ def query_dedup_ablation(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def two_stage_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Five best corpora of a passage by their best section, then the ten best sections in that order."""
-    scored = _scored(spark, sf)
+    scored = _leading(spark, sf, 10)
     groups = scored.groupBy("query", "corpus").agg(F.max("score").alias("best"))
     groups = ranking.ranked(groups, ["query"], F.desc("best"), F.asc("corpus"), name="group_rank").select("query", "corpus", "group_rank")
     found = ranking.within(scored, groups, on=["query", "corpus"], keep=5, group=("query",), top=10)
