@@ -77,7 +77,7 @@ def _named(df: DataFrame, *more: str) -> DataFrame:
 @query
 def bm25_section_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The three best sections of every corpus for every passage."""
-    return _named(ranking.by_score(_scored(spark, sf), top=3), "rank")
+    return _named(ranking.by_score(_leading(spark, sf, 3), top=3), "rank")
 
 
 @query
