@@ -100,11 +100,9 @@ def bm25_max_score(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def query_dedup_ablation(spark: SparkSession, sf: str) -> DataFrame:
     """Mean reciprocal rank with and without the query's repeated terms."""
-    gold = bm25.containing(_corpora(spark, sf), _passages(spark, sf)).withColumn("gold", F.lit(True))
     out = []
-    for name, distinct in (("all_terms", False), ("distinct_terms", True)):
-        ranked = ranking.by_score(_scored(spark, sf, distinct)).join(gold, ["query", "corpus", "doc"], "left")
-        rows = ranking.hits(ranked, ["query", "corpus"], F.col("gold"), CUTS).where("rr > 0")
+    for name, ranks in zip(("all_terms", "distinct_terms"), _first_ranks(spark, sf, False, True), strict=True):
+        rows = ranking.hits(ranks, ["query", "corpus"], F.lit(True), CUTS)
         out.append(rows.agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in ("hit1", "hit3", "hit10", "rr")]).withColumn("variant", F.lit(name)))
     return out[0].unionByName(out[1])
 
