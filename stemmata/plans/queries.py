@@ -42,10 +42,6 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
-def _scored(spark: SparkSession, sf: str, distinct: bool = False) -> DataFrame:
-    return bm25.scores(bm25.query_terms(_passages(spark, sf), distinct=distinct), bm25.index(_corpora(spark, sf)), zeros=False)
-
-
 def _leading(spark: SparkSession, sf: str, top: int, **how) -> DataFrame:
     """Scored rows among which are the ``top`` ones of every passage and corpus; all rows if passages are too many to be held."""
     docs, terms = _corpora(spark, sf), bm25.query_terms(_passages(spark, sf))
@@ -126,7 +122,7 @@ def boosted_rank(spark: SparkSession, sf: str) -> DataFrame:
 def oracle_section_rank(spark: SparkSession, sf: str) -> DataFrame:
     """The five best sections of each passage within the corpora that contain it."""
     gold = bm25.containing(_corpora(spark, sf), _passages(spark, sf))
-    return _named(ranking.only(_scored(spark, sf), gold, ["query", "corpus"]).where("rank <= 5"), "rank")
+    return _named(ranking.only(_leading(spark, sf, 5), gold, ["query", "corpus"]).where("rank <= 5"), "rank")
 
 
 @query
