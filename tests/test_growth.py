@@ -130,3 +130,8 @@ def test_names_meet_the_best_judgment_of_a_year(spark):
     )
     assert {r.case_key: r.itemid for r in found.collect()} == {"k0": "i1", "k1": "i1", "k2": "i1", "k3": "i3", "k4": "i1", "k9": None}
     assert "Aggregate [name" in plan(found)  # before names meet, so that a case gets one row of a name's judgments
+
+
+def test_catalog_copies_no_rows(spark):
+    found = QUERIES["case_catalog"](spark, "/root/testdata/sf0.001")
+    assert "Expand" not in plan(found) and found.schema["citation_variants"].dataType.simpleString() == found.schema["snapshots"].dataType.simpleString() == "bigint"
