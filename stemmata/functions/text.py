@@ -208,20 +208,24 @@ def _between(lines: Column, start: Column, stop: Column) -> Column:
 
 
 def judgment_sections(c: ColumnOrName) -> Column:
-    """Struct of full_text, facts, law, operative and two halves by lines; each section follows the one before it."""
-    lines = _lines(c)
-    facts = F.get(_marks(lines, FACTS), F.lit(0))
-    law = _next(_marks(lines, LAW), facts)
-    operative = _next(_marks(lines, OPERATIVE), law)
-    half = F.floor(F.size(lines) / 2).cast("int")
-    return F.struct(
-        F.coalesce(col(c), F.lit("")).alias("full_text"),
-        _between(lines, facts, law).alias("facts"),
-        _between(lines, law, operative).alias("law"),
-        _between(lines, operative, F.lit(None).cast("int")).alias("operative"),
-        F.array_join(F.slice(lines, F.lit(1), half), "\n").alias("first_half"),
-        F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n").alias("second_half"),
-    )
+    """Struct of full_text, facts, law, operative and two halves by lines; each section follows the one before it.
+    Lines and places are worked out once for all of them."""
+
+    def within(lines: Column) -> Column:
+        half = F.floor(F.size(lines) / 2).cast("int")
+        made = lambda facts, law, operative: F.struct(
+            F.coalesce(col(c), F.lit("")).alias("full_text"),
+            _between(lines, facts, law).alias("facts"),
+            _between(lines, law, operative).alias("law"),
+            _between(lines, operative, F.lit(None).cast("int")).alias("operative"),
+            F.array_join(F.slice(lines, F.lit(1), half), "\n").alias("first_half"),
+            F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n").alias("second_half"),
+        )
+        with_law = lambda facts, law: once(_next(_marks(lines, OPERATIVE), law), lambda operative: made(facts, law, operative))
+        with_facts = lambda facts: once(_next(_marks(lines, LAW), facts), lambda law: with_law(facts, law))
+        return once(F.get(_marks(lines, FACTS), F.lit(0)), with_facts)
+
+    return once(_lines(c), within)
 
 
 #: Presets of law_section: (lines that are kept if no operative part follows, characters kept if there is no law part).

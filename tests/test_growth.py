@@ -135,3 +135,15 @@ def test_names_meet_the_best_judgment_of_a_year(spark):
 def test_catalog_copies_no_rows(spark):
     found = QUERIES["case_catalog"](spark, "/root/testdata/sf0.001")
     assert "Expand" not in plan(found) and found.schema["citation_variants"].dataType.simpleString() == found.schema["snapshots"].dataType.simpleString() == "bigint"
+
+
+def test_sections_split_a_text_once(spark):
+    from stemmata.functions.text import judgment_sections
+
+    said = ["THE FACTS\na\nTHE LAW\nb\nFOR THESE REASONS, x\nc", "THE LAW\nTHE FACTS\n\nTHE LAW", "", None, "OPERATIVE PROVISIONS\nthe facts \n1\r\n2\nthe law\n3\nthe law\nOPERATIVE PROVISIONS", "THE FACTS"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, text string").select("k", judgment_sections("text").alias("s")).select("k", "s.facts", "s.law", "s.operative", "s.first_half", "s.second_half")
+    assert [tuple(r)[1:] for r in df.orderBy("k").collect()] == [
+        ("THE FACTS\na", "THE LAW\nb", "FOR THESE REASONS, x\nc", "THE FACTS\na\nTHE LAW", "b\nFOR THESE REASONS, x\nc"), ("THE FACTS\n", "THE LAW", "", "THE LAW\nTHE FACTS", "\nTHE LAW"),
+        ("", "", "", "", ""), ("", "", "", "", ""), ("the facts \n1\n2", "the law\n3\nthe law", "OPERATIVE PROVISIONS", "OPERATIVE PROVISIONS\nthe facts \n1\n2", "the law\n3\nthe law\nOPERATIVE PROVISIONS"), ("THE FACTS", "", "", "", "THE FACTS"),
+    ]
+    assert plan(QUERIES["law_section_split"](spark, "/root/testdata/sf0.001")).count("split(") == 1
