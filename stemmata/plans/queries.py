@@ -567,7 +567,7 @@ def paragraph_diff(spark: SparkSession, sf: str) -> DataFrame:
     rows = paragraphs.described(rows.select(
         F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("pair"), "order", (F.col("order") + 1).alias("para_num"),
         F.col("role").alias("section_path"), F.upper("role").alias("section_title"), F.lit(1).alias("section_level"), "text",
-    ))
+    )).persist()  # comparison forms are worked out in Python; either side's are used in several joins
     later = rows.withColumn("pair", F.concat_ws("|", F.substring_index("pair", "|", 1), (F.substring_index("pair", "|", -1).cast("long") - 2).cast("string")))
     later = later.join(rows.select("pair").distinct(), "pair", "left_semi")
     earlier = rows.join(later.select("pair").distinct(), "pair", "left_semi")

@@ -147,3 +147,9 @@ def test_sections_split_a_text_once(spark):
         ("", "", "", "", ""), ("", "", "", "", ""), ("the facts \n1\n2", "the law\n3\nthe law", "OPERATIVE PROVISIONS", "OPERATIVE PROVISIONS\nthe facts \n1\n2", "the law\n3\nthe law\nOPERATIVE PROVISIONS"), ("THE FACTS", "", "", "", "THE FACTS"),
     ]
     assert plan(QUERIES["law_section_split"](spark, "/root/testdata/sf0.001")).count("split(") == 1
+
+
+def test_forms_of_paragraphs_are_kept(spark):
+    # Once in Python for all joins of either side, where there were no kept rows before.
+    assert "InMemoryRelation" in QUERIES["paragraph_diff"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().withCachedData().toString()
+    spark.catalog.clearCache()
